@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from tidewire.llm.common import read
+from tidewire.llm import mixing, neardup, packing, pii, quality
+from tidewire.llm.common import Tables, read
 
-STAGES: list = []
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest doc_id; of rows that repeat it, one. Rows without doc_id stay."""
+    found = neardup.near_duplicates(docs)
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(kept, docs["doc_id"] == kept["__id"]).drop("__id")
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__row = 1").drop("__row")
+    return rows.unionByName(docs.filter("doc_id is null"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places in sequences."""
+    return packing.pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("personal data", redact_personal_data),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: Not expressible in SQL: it trains models and tokenises.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    tables, docs = Tables(spark, "pipeline"), read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = tables.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
