@@ -46,7 +46,7 @@ def _vectors(bits: int):
     return run
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, bits: int = BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, bits: int = BITS, epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept, by per-coordinate FTRL-proximal updates, one row at a time in a fixed order."""
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
