@@ -193,7 +193,7 @@ def _score(sent, hot, total: int, distinct: int, mu: float):
 SCORED = "doc_id bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, rare array<bigint>, times array<int>"
 
 
-def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 4.0, base: float = 1.5, bits: int = 12, most_mb: int = 256) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 300.0, base: float = 1.5, bits: int = 12, most_mb: int = 256) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
