@@ -1,19 +1,505 @@
-"""The registered queries of the news engine."""
+"""The registered queries of the news engine, each next to the SQL that DuckDB runs to the same rows.
+
+Doubles are rounded to six places in both. Lexicons are parameters: the test tables hold invented words, so queries pass lists that occur in them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewire.functions import text as T
+from tidewire.operators import classify as C
+from tidewire.operators import dedup as D
+from tidewire.operators import evaluate as E
+from tidewire.operators import joins as J
+from tidewire.operators import ranking as R
+from tidewire.operators import storyboard as S
+from tidewire.operators import windows as W
+
+from .adapters import NEWS, news, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+KEYWORDS = ("the", "of", "der", "la", "license", "apache", "public", "tion")
+CREDIBLE = {f"src{i}": round(0.5 + 0.025 * i, 3) for i in range(0, 20, 2)}
+_CRED = "CASE source_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CREDIBLE.items()) + " ELSE 0.6 END"
+EVENT_WORDS = {"funding": ("the", "und"), "launch": ("of", "une"), "research": ("license", "ciudad"), "personnel": ("with", "avec")}
+
+
+def _hit(column: str, word: str) -> str:
+    return f"regexp_matches({column}, '(^|[^a-z0-9]){word}([^a-z0-9]|$)')"
+
+
+def _list(column: str, words) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_hit(column, w)} THEN '{w}' END" for w in sorted(words)) + "], lambda x: x IS NOT NULL)"
+
+
+# ---- ranking ----
+
+_AI_SQL = f"""CASE WHEN len({_list('lower(title)', KEYWORDS)}) > 0 THEN least(1.0, 0.5 + 0.1 * len({_list('lower(title)', KEYWORDS)}))
+  WHEN len({_list('lower(raw_content)', KEYWORDS)}) > 0 THEN 0.4 + least(0.3, 0.1 * (len({_list('lower(raw_content)', KEYWORDS)}) - 1)) ELSE 0.0 END"""
+_SCORED_SQL = f"""WITH {NEWS}, m AS (
+  SELECT *, min(id) OVER (PARTITION BY content_hash, collection_date) AS canonical, lower(trim(coalesce(source_name, ''))) AS name, round(CAST({_AI_SQL} AS DOUBLE), 6) AS ai,
+    CAST({_CRED} AS DOUBLE) AS cred FROM news),
+ o AS (SELECT canonical, count(DISTINCT name) AS names FROM m WHERE name <> '' GROUP BY 1),
+ s AS (SELECT m.*, coalesce(names, 0) - CASE WHEN name <> '' THEN 1 ELSE 0 END AS outlets FROM m LEFT JOIN o USING (canonical)),
+ r AS (SELECT *, outlets >= 1 OR cred >= 0.85 AS verified,
+   greatest(0.0, least(1.0, 1 - (epoch_us(CAST(collection_date AS TIMESTAMP) + INTERVAL 1110 MINUTE) - epoch_us(published_at)) / 3.6e9 / 22)) AS recent FROM s),
+ t AS (SELECT *, round(0.35 * recent + 0.25 * cred + 0.25 * ai + 0.15 * least(1.0, outlets / 3.0) + CASE WHEN verified THEN 0.05 ELSE 0.0 END, 9) AS score FROM r WHERE ai > 0 OR id = canonical),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY score DESC, (id = canonical) DESC, id) AS rn FROM t) WHERE rn = 1)"""
+
+
+def _event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = news(spark, sf_dir)
+    members = rows.withColumn("ai", C.keyword_relevance(F.col("title"), F.col("raw_content"), KEYWORDS)["score"])
+    heads = rows.groupBy("content_hash", "collection_date").agg(F.min("id").alias("canonical"))
+    members = members.join(heads, ["content_hash", "collection_date"]).withColumn("viable", F.col("ai") > 0)
+    now = F.col("collection_date").cast("timestamp") + F.expr("interval 1110 minutes")
+    scored = R.event_scores(members, now, CREDIBLE)
+    return scored.join(rows.select(F.col("id").alias("canonical"), "collection_date"), "canonical")
+
+
+@query(_SCORED_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY collection_date ORDER BY score DESC, canonical) AS rank_position FROM b)
+ SELECT CAST(collection_date AS VARCHAR) AS day, canonical, id AS best_id, source_name, round(score, 6) AS score, CAST(outlets AS BIGINT) AS outlets, verified, CAST(rank_position AS INT) AS rank_position,
+   CASE WHEN rank_position <= 25 THEN 'primary' ELSE 'backup' END AS selection_status FROM k WHERE rank_position <= 30""")
+def q_rank_top30(spark, sf_dir):
+    rows = R.select_slots(_event_scores(spark, sf_dir), "collection_date")
+    return rows.select(F.col("collection_date").cast("string").alias("day"), "canonical", "best_id", "source_name", F.round("score", 6).alias("score"), F.col("outlets").cast("long").alias("outlets"), "verified", "rank_position", "selection_status")
+
+
+flagship = q_rank_top30
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_suppkey, n_name AS source_name, CASE WHEN s_nationkey % 3 = 0 THEN 0.9 ELSE 0.6 END AS cred, l_quantity / 50 AS ai
+   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+ t AS (SELECT *, round(0.25 * cred + 0.25 * ai, 9) AS score FROM m),
+ b AS (SELECT l_orderkey, max(score) AS score, count(DISTINCT source_name) AS outlets FROM t GROUP BY 1)
+ SELECT l_orderkey, round(score, 6) AS score, CAST(outlets AS BIGINT) AS outlets, least(1.0, outlets / 3.0) AS momentum FROM b""")
+def q_event_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    cred = F.when(F.col("s_nationkey") % 3 == 0, 0.9).otherwise(0.6)
+    scored = rows.select("l_orderkey", "n_name", F.round(0.25 * cred + 0.25 * (F.col("l_quantity") / 50), 9).alias("score"))
+    out = scored.groupBy("l_orderkey").agg(F.max("score").alias("score"), F.count_distinct("n_name").alias("outlets"))
+    return out.select("l_orderkey", F.round("score", 6).alias("score"), "outlets", R.momentum(F.col("outlets")).alias("momentum"))
+
+
+@query("""SELECT s_suppkey, n_name, CASE n_name WHEN 'NATION_1' THEN 0.95 WHEN 'NATION_2' THEN 0.8 ELSE 0.6 END AS credibility FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def q_credibility_join(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select("s_suppkey", "n_name", C.credibility(F.col("n_name"), {"NATION_1": 0.95, "NATION_2": 0.8}, {"nation one": "NATION_1"}).alias("credibility"))
+
+
+@query("""SELECT l_orderkey, CAST(count(DISTINCT CASE WHEN lower(trim(l_returnflag || l_linestatus)) <> 'no' THEN lower(trim(l_returnflag || l_linestatus)) END) AS INT) AS others FROM lineitem GROUP BY 1""")
+def q_independent_outlets(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("names"))  # six names at most
+    return rows.select("l_orderkey", C.independent_outlets(F.lit("NO "), F.col("names")).alias("others"))
+
+
+@query(f"""WITH {NEWS} SELECT id, title FROM news LEFT JOIN labels ON id = doc_id WHERE quality IS DISTINCT FROM 0 AND NOT EXISTS (SELECT 1 FROM labels t WHERE t.doc_id = id AND t.toxic = 1) AND source_type = 'rss'""")
+def q_eligible_pool(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    rows = news(spark, sf_dir).filter("source_type = 'rss'").join(labels.select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    stories = rows.select("id", "title", F.lit("ai_candidate").alias("ai_relevance"), F.lit(None).cast("long").alias("canonical_story_id"), F.when(F.col("quality") == 0, "insufficient").when(F.col("quality") == 1, "sufficient").alias("source_sufficiency"))
+    toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return R.eligible(stories, toxic.limit(0), toxic).select("id", "title")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey AS id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+ kept AS (SELECT o_custkey, id, CAST(rn * 2 AS INT) AS rank_position FROM c WHERE rn <= 2),
+ free AS (SELECT o_custkey, p AS rank_position, row_number() OVER (PARTITION BY o_custkey ORDER BY p) AS nth FROM (SELECT DISTINCT o_custkey FROM c), range(1, 6) g(p) WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.o_custkey = c.o_custkey AND k.rank_position = p)),
+ cand AS (SELECT c.o_custkey, c.id, row_number() OVER (PARTITION BY c.o_custkey ORDER BY c.score DESC, c.id) AS nth FROM c WHERE c.rn > 2)
+ SELECT o_custkey, id, CAST(rank_position AS INT) AS rank_position, added, CASE WHEN rank_position <= 4 THEN 'primary' ELSE 'backup' END AS selection_status FROM (
+  SELECT o_custkey, id, rank_position, FALSE AS added FROM kept UNION ALL SELECT f.o_custkey, cand.id, f.rank_position, TRUE FROM free f JOIN cand ON f.o_custkey = cand.o_custkey AND f.nth = cand.nth)""".replace("(SELECT DISTINCT o_custkey FROM c), range", "(SELECT DISTINCT o_custkey FROM c) c, range"))
+def q_slot_topup(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")).withColumn("rn", F.row_number().over(Window.partitionBy("o_custkey").orderBy("id")))
+    kept = rows.filter("rn <= 2").select("o_custkey", "id", (F.col("rn") * 2).cast("int").alias("rank_position"))
+    return R.top_up(kept, rows.filter("rn > 2").select("o_custkey", "id", "score"), "o_custkey", 4, 1)
+
+
+@query("""SELECT event_id, round(greatest(0.0, least(1.0, 1 - (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 3.6e9 / 22)), 6) AS recency FROM events""")
+def q_recency_decay(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(R.recency(F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp")), 6).alias("recency"))
+
+
+# ---- duplicates ----
+
+
+@query(f"""WITH {NEWS}, c AS (SELECT *, min(id) OVER (PARTITION BY content_hash) AS canonical FROM news),
+ s AS (SELECT a.id, b.id AS sibling, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS rn FROM c a JOIN c b ON a.canonical = b.canonical AND a.id <> b.id AND a.source_name <> b.source_name)
+ SELECT id, sibling, CAST(rn AS INT) AS nth FROM s WHERE rn <= 3""")
+def q_duplicates_of(spark, sf_dir):
+    rows = news(spark, sf_dir).select("id", "source_name", "content_hash")
+    # A story's first siblings of other outlets: of each outlet the three smallest ids of a group, ranked in the group, are all that can be among them.
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("content_hash", "source_name").orderBy("id"))).filter("r <= 3").drop("r")
+    few = few.withColumn("g", F.row_number().over(Window.partitionBy("content_hash").orderBy("id")))
+    lead = few.withColumn("own", F.count("*").over(Window.partitionBy("content_hash", "source_name").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)))
+    lead = lead.filter(F.col("g") - F.col("own") <= 6)  # beyond that, three of other outlets stand before it whatever the asker's outlet
+    b = lead.select(F.col("id").alias("sibling"), F.col("source_name").alias("other"), "content_hash")
+    pairs = rows.join(b, "content_hash").filter((F.col("id") != F.col("sibling")) & (F.col("source_name") != F.col("other")))
+    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("sibling"))).filter("nth <= 3").select("id", "sibling", "nth")
+
+
+@query(f"""WITH {NEWS} SELECT id, min(id) OVER (PARTITION BY content_hash) AS canonical FROM news""")
+def q_exact_source_dups(spark, sf_dir):
+    rows = news(spark, sf_dir).select("id", "content_hash")
+    return rows.join(rows.groupBy("content_hash").agg(F.min("id").alias("canonical")), "content_hash").select("id", "canonical")
+
+
+_TITLE_SQL = f"""WITH {NEWS}, t AS (SELECT id, epoch_us(published_at) AS ts, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '), lambda x: x <> '')) AS tok FROM news),
+ p AS (SELECT a.id AS e_id, b.id AS l_id, (b.ts - a.ts) / 3.6e9 AS hours, CASE WHEN len(a.tok) = 0 OR len(b.tok) = 0 THEN 0.0 ELSE len(list_intersect(a.tok, b.tok)) / CAST(len(list_distinct(list_concat(a.tok, b.tok))) AS DOUBLE) END AS jac
+   FROM t a JOIN t b ON b.ts - a.ts BETWEEN 0 AND 172800000000 AND (a.ts, a.id) < (b.ts, b.id)),
+ k AS (SELECT e_id, l_id, round(hours, 6) AS hours, round(jac, 6) AS jac FROM p WHERE round(jac, 6) >= 0.35)"""
+
+
+@query(_TITLE_SQL + " SELECT * FROM k")
+def q_title_jaccard_pairs(spark, sf_dir):
+    pairs = D.title_matches(news(spark, sf_dir), companies=(), sequence=None)
+    return pairs.select("e_id", "l_id", F.round("hours", 6).alias("hours"), "jac")
+
+
+@query(_TITLE_SQL + " SELECT id, match, score FROM (SELECT l_id AS id, e_id AS match, jac AS score, row_number() OVER (PARTITION BY l_id ORDER BY jac DESC, e_id) AS rn FROM k) WHERE rn = 1")
+def q_title_clusters_jaccard(spark, sf_dir):
+    return D.best_title_match(D.title_matches(news(spark, sf_dir), companies=(), sequence=None))
+
+
+@query()
+def q_title_seq_pairs(spark, sf_dir):
+    return D.title_matches(news(spark, sf_dir), companies=())
+
+
+@query()
+def q_title_clusters(spark, sf_dir):
+    rows = news(spark, sf_dir).withColumn("pinned", F.lit(False))
+    pairs = D.title_matches(rows, companies=(), sequence=None)
+    days = rows.select("id", "collection_date")
+    one_day = pairs.join(days.select(F.col("id").alias("e_id"), F.col("collection_date").alias("d1")), "e_id").join(days.select(F.col("id").alias("l_id"), F.col("collection_date").alias("d2")), "l_id").filter("d1 = d2")
+    return D.walk(rows, one_day, "collection_date")
+
+
+@query(r"""WITH tf AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark) GROUP BY 1, 2),
+ n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ w AS (SELECT id, term, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df <= 0.9 * n),
+ u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)
+ SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= 0.1""")
+def q_tfidf_pairs(spark, sf_dir):
+    return D.similar(D.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text"), 0.1)
+
+
+@query("""WITH q AS (SELECT vec_id AS q, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS c, round(list_sum(list_transform(list_zip(qv, embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS similarity FROM q, embeddings WHERE vec_id < q)
+ SELECT q, c, similarity, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) AS rn FROM s WHERE similarity >= 0.1) WHERE rn <= 10""")
+def q_cosine_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return D.nearest(asked, rows.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), floor=0.1, k=10, visible=F.col("c") < F.col("q"))
+
+
+@query()
+def q_history_asof(spark, sf_dir):
+    rows = news(spark, sf_dir).filter("source_type = 'rss'")
+    corpus = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("c"), D.embed("text").alias("cv"), F.date_add(F.lit("2026-09-18").cast("date"), (F.col("item_id") % 5).cast("int")).alias("corpus_date"))
+    asked = rows.select(F.col("id").alias("q"), D.embed(F.substring("raw_content", 1, 1500)).alias("qv"), "collection_date")
+    return D.nearest(asked, corpus, floor=0.3, k=10, visible=F.col("corpus_date") < F.col("collection_date"))
+
+
+def _pair_features(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    lead = T.sentences(F.col("raw_content"))
+    feats = rows.select("id", "content_hash", D.development_types(F.col("title"), F.get(lead, F.lit(0))).alias("types"), T.title_numbers(F.col("title")).alias("numbers"), T.content_stems(F.col("title"), ()).alias("stems"), F.size(F.split("raw_content", "\\s+")).alias("words"), F.lower("title").alias("low"))
+    n, o = (feats.select(*(F.col(c).alias(f"{p}_{c}") for c in feats.columns)) for p in ("n", "o"))
+    return pairs.join(n, F.col("l_id") == F.col("n_id")).join(o, F.col("e_id") == F.col("o_id"))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = news(spark, sf_dir)
+    pairs = D.title_matches(rows, companies=(), sequence=None)
+    f = _pair_features(pairs, rows)
+    parts = {
+        "same_source": F.col("n_content_hash") == F.col("o_content_hash"), "sim": F.greatest(F.col("jac"), F.lit(0.7)), "title_sim": F.col("jac"),
+        "subject": F.when(F.arrays_overlap("n_stems", "o_stems"), "shared").otherwise("unknown"), "new": F.col("n_types"), "old": F.col("o_types"), "covered": F.col("o_types.types"),
+        "numbers": F.size(F.array_except("n_numbers", "o_numbers")), "title_entities": F.lit(0), "material": F.size(F.array_except("n_numbers", "o_numbers")) > 0,
+        "lead_novelty": F.lit(1.0) - T.coverage(F.col("n_stems"), F.col("o_stems")), "title_only": F.col("n_words") < 20, "first_person": F.col("n_low").rlike(D.FIRST_PERSON),
+        "explains": F.col("n_low").rlike(D.EXPLAINER), "old_explains": F.col("o_low").rlike(D.EXPLAINER),
+    }
+    return f.select("e_id", "l_id", F.col("jac").alias("semantic"), D.decide(parts).alias("v"), "n_words")
+
+
+@query()
+def q_decide_ladder(spark, sf_dir):
+    return _verdicts(spark, sf_dir).groupBy("v.decision", "v.rule").count()
+
+
+@query()
+def q_same_day_walk(spark, sf_dir):
+    rows = news(spark, sf_dir)
+    days = rows.select("id", "collection_date")
+    verdicts = _verdicts(spark, sf_dir).filter("v.decision = 'duplicate'").select("e_id", "l_id", "semantic")
+    verdicts = verdicts.join(days.select(F.col("id").alias("e_id"), F.col("collection_date").alias("d1")), "e_id").join(days.select(F.col("id").alias("l_id"), F.col("collection_date").alias("d2")), "l_id").filter("d1 = d2")
+    given = rows.select("collection_date", "id", "published_at", F.lit(False).alias("pinned"), F.size(F.split("raw_content", "\\s+")).alias("words"), C.credibility(F.col("source_name"), CREDIBLE, {}).alias("score"))
+    return D.elect(given, verdicts, "collection_date")
+
+
+# ---- classification ----
+
+
+@query(f"""WITH {NEWS}, k AS (SELECT id, {_list('lower(title)', KEYWORDS)} AS t, {_list('lower(raw_content)', KEYWORDS)} AS s FROM news)
+ SELECT id, round(CAST(CASE WHEN len(t) > 0 THEN least(1.0, 0.5 + 0.1 * len(t)) WHEN len(s) > 0 THEN 0.4 + least(0.3, 0.1 * (len(s) - 1)) ELSE 0.0 END AS DOUBLE), 6) AS score, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE s END, ',') AS keywords FROM k""")
+def q_keyword_relevance(spark, sf_dir):
+    return news(spark, sf_dir).select("id", C.keyword_relevance(F.col("title"), F.col("raw_content"), KEYWORDS).alias("r")).select("id", "r.score", "r.keywords")
+
+
+@query()
+def q_rules_classifier(spark, sf_dir):
+    return news(spark, sf_dir).select("id", C.relevance_rules(F.col("title"), F.substring("raw_content", 1, 2000)).alias("r")).select("id", "r.*")
+
+
+_FACT_EVENTS = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(_hit('low', w) for w in ws)} THEN '{n}' END" for n, ws in sorted(EVENT_WORDS.items())) + "], lambda x: x IS NOT NULL)"
+
+
+@query(rf"""WITH {NEWS}, f AS (SELECT *, lower(concat_ws(' ', title, raw_content)) AS low, concat_ws(' ', title, raw_content) AS t FROM news)
+ SELECT id, array_to_string({_list('low', ('apache', 'gnu', 'mit'))}, ',') AS companies, array_to_string({_FACT_EVENTS}, ',') AS events,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)\$[0-9,]+(?:\.[0-9]+)?[ \t\n]?(?:million|billion|trillion|M|B|T|K)?|[0-9]+(?:\.[0-9]+)?%|[0-9]+(?:\.[0-9]+)?x\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'))), '|') AS claims FROM f""")
+def q_fact_extract(spark, sf_dir):
+    f = C.facts(F.col("title"), F.col("raw_content"), ("apache", "gnu", "mit"), (), EVENT_WORDS)
+    rows = news(spark, sf_dir).select("id", f.alias("f"))
+    return rows.select("id", F.array_join("f.companies", ",").alias("companies"), F.array_join("f.events", ",").alias("events"), F.array_join("f.claims", "|").alias("claims"))
+
+
+@query(f"""WITH {NEWS}, e AS (SELECT *, {_FACT_EVENTS.replace('low', 'lower(title)')} AS ev FROM news)
+ SELECT id, CASE WHEN starts_with(lower(trim(title)), 'the ') THEN 'developer_tools' WHEN list_contains(ev, 'research') THEN 'research' WHEN list_contains(ev, 'funding') THEN 'business' WHEN list_contains(ev, 'personnel') THEN 'business'
+  WHEN source_type = 'hackernews' THEN 'developer_tools' ELSE 'major_news' END AS category FROM e""")
+def q_taxonomy(spark, sf_dir):
+    found = C.events(F.col("title"), EVENT_WORDS)
+    return news(spark, sf_dir).select("id", C.taxonomy(F.col("title"), found, F.col("source_type"), ("the ",)).alias("category"))
+
+
+@query(f"""WITH {NEWS}, c AS (SELECT id, source_name, {_CRED} AS cred, content_hash FROM news), o AS (SELECT content_hash, count(DISTINCT source_name) - 1 AS outlets FROM c GROUP BY 1)
+ SELECT id, CASE WHEN outlets >= 1 OR cred >= 0.85 THEN 'verified' ELSE 'unverified' END AS status,
+  CASE WHEN outlets >= 1 THEN 'Cross-source confirmed by ' || outlets || ' other outlet(s).' WHEN cred >= 0.85 THEN 'Primary/official source (' || source_name || ', credibility=' || printf('%.2f', CAST(cred AS DOUBLE)) || ') -- self-verifying for its own news.'
+  ELSE 'Single source (' || source_name || ', credibility=' || printf('%.2f', CAST(cred AS DOUBLE)) || '), no cross-source confirmation yet.' END AS reason FROM c JOIN o USING (content_hash)""")
+def q_verification(spark, sf_dir):
+    rows = news(spark, sf_dir).select("id", "source_name", "content_hash", C.credibility(F.col("source_name"), CREDIBLE, {}).alias("cred"))
+    outlets = rows.groupBy("content_hash").agg((F.count_distinct("source_name") - 1).alias("outlets"))
+    return rows.join(outlets, "content_hash").select("id", C.verification(F.col("source_name"), F.col("cred"), F.col("outlets")).alias("v")).select("id", "v.*")
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+){1,3}'))), ',') AS versions, regexp_matches(text, '[0-9]%') AS pct FROM documents""")
+def q_numbers_by_unit(spark, sf_dir):
+    found = F.regexp_extract_all("text", F.lit("[0-9]+(?:\\.[0-9]+){1,3}"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("versions"), F.col("text").rlike("[0-9]%").alias("pct"))
+
+
+# ---- relational ----
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS publisher FROM pages""")
+def q_publisher(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.publisher(F.col("url"), {"": ""}).alias("publisher"))
+
+
+@query("""SELECT CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
+def q_ist_day_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("day", T.coverage_date(F.col("ts")).cast("string"))
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error' OR user_id % 40 = 0) SELECT count(*) AS pairs, round(sum((b.t - a.t) / 3.6e9), 3) AS hours FROM e a JOIN e b ON b.t - a.t BETWEEN 0 AND 172800000000 AND (a.t, a.event_id) < (b.t, b.event_id)""")
+def q_window_pairs_48h(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error' or user_id % 40 = 0")
+    pairs = J.window_pairs(rows, "ts", "event_id", 48, salts=4)
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum("hours"), 3).alias("hours"))
+
+
+@query("""SELECT user_id, max_by(event_id, (epoch_us(ts), event_id)) AS event_id FROM events GROUP BY 1""")
+def q_latest_per_key(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, l_quantity DESC, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+def q_argmax_composite(spark, sf_dir):
+    key = F.struct((F.col("l_returnflag") == "R").alias("r"), "l_quantity", (-F.col("l_linenumber")).alias("x"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by(F.struct("l_linenumber", "l_quantity"), key).alias("b")).select("l_orderkey", "b.*")
+
+
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality IS NULL) AS unlabelled, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def q_conditional_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("""SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1""")
+def q_distinct_counts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+@query("""SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, l_suppkey) AS suppliers FROM lineitem GROUP BY 1""")
+def q_collect_members(spark, sf_dir):
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(lines, lambda x: x["l_suppkey"].cast("string")), ",").alias("suppliers"))
+
+
+@query("""WITH d AS (SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0 THEN NULL ELSE length(text) / 20.0 END AS secs FROM conversations)
+ SELECT conv_id, turn, round(CASE WHEN secs > 0 THEN 8.1 + coalesce(sum(CASE WHEN secs > 0 THEN secs + 0.6 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END, 6) AS starts_at FROM d""")
+def q_running_offset(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.length("text") % 7 != 0, F.length("text") / 20.0).alias("secs"))
+    return W.running_offset(rows, "conv_id", "turn", "secs").select("conv_id", "turn", F.round("starts_at", 6).alias("starts_at"))
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ i AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM s)
+ SELECT user_id, CAST(island AS BIGINT) AS island, any_value(event_type) AS event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM i GROUP BY 1, 2""")
+def q_islands(spark, sf_dir):
+    return W.islands(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, count(*) FILTER (gap > 3600) AS breaks FROM (SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events) GROUP BY 1""")
+def q_contiguity_lag(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").withColumn("gap", (t - F.lag(t).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))) / 1e6)
+    return rows.groupBy("user_id").agg(F.count_if(F.col("gap") > 3600).alias("breaks"))
+
+
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE rn IN (SELECT CAST(floor(i * (SELECT count(*) FROM documents) / 25.0) AS BIGINT) FROM range(25) t(i))""")
+def q_stride_sample(spark, sf_dir):
+    return W.stride_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 25)
+
+
+@query("""SELECT n_nationkey AS k, 'all' AS side FROM nation UNION ALL (SELECT c_nationkey, 'both' FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT n_nationkey, 'none' FROM nation EXCEPT SELECT s_nationkey, 'none' FROM supplier)""")
+def q_set_ops(spark, sf_dir):
+    n, c, s = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    n, c, s = n.select(F.col("n_nationkey").alias("k")), c.select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k"))
+    return n.withColumn("side", F.lit("all")).unionByName(c.intersect(s).withColumn("side", F.lit("both"))).unionByName(n.subtract(s).withColumn("side", F.lit("none")))
+
+
+@query("""SELECT c_custkey, c_mktsegment, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+def q_outer_joins(spark, sf_dir):
+    spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("spent"))
+    rows = table(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select("c_custkey", "c_mktsegment", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("spent", F.lit(0.0)), 2).alias("spent"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'published' WHEN bool_or(event_type = 'error') THEN 'failed' ELSE 'not_published' END AS status FROM events GROUP BY 1""")
+def q_status_rollup(spark, sf_dir):
+    has = lambda t: F.max(F.col("event_type") == t)
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(has("purchase"), "published").when(has("error"), "failed").otherwise("not_published").alias("status"))
+
+
+# ---- evaluation ----
+
+_PRED = "SELECT d.doc_id, lang, quality = 1 AS truth, length(text) - length(translate(text, '#*$%&|<>', '')) <= 5 AS said FROM documents d JOIN labels USING (doc_id)"
+
+
+def _predictions(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rows.select("doc_id", "lang", (F.col("quality") == 1).alias("truth"), (F.length("text") - F.length(F.translate("text", "#*$%&|<>", "")) <= 5).alias("said"))
+
+
+@query(f"WITH p AS ({_PRED}) SELECT truth, said, count(*) AS n FROM p GROUP BY 1, 2")
+def q_confusion(spark, sf_dir):
+    return E.confusion(_predictions(spark, sf_dir), "truth", "said")
+
+
+_METRICS = "round(count(*) FILTER (truth AND said) / CAST(nullif(count(*) FILTER (said), 0) AS DOUBLE), 6) AS precision, round(count(*) FILTER (truth AND said) / CAST(nullif(count(*) FILTER (truth), 0) AS DOUBLE), 6) AS recall, round(2.0 * count(*) FILTER (truth AND said) / nullif(count(*) FILTER (said) + count(*) FILTER (truth), 0), 6) AS f1"
+
+
+@query(f"WITH p AS ({_PRED}) SELECT lang, {_METRICS} FROM p GROUP BY 1")
+def q_metrics(spark, sf_dir):
+    return E.metrics(_predictions(spark, sf_dir), ["lang"], F.col("truth"), F.col("said"))
+
+
+@query(f"WITH p AS ({_PRED}), s AS (SELECT 'english' AS slice, * FROM p WHERE lang = 'en' UNION ALL SELECT 'even', * FROM p WHERE doc_id % 2 = 0 UNION ALL SELECT 'all', * FROM p) SELECT slice, count(*) FILTER (truth AND NOT said) AS missed, count(*) FILTER (said AND NOT truth) AS wrong, count(*) AS n FROM s GROUP BY 1")
+def q_slices(spark, sf_dir):
+    return E.slices(_predictions(spark, sf_dir), {"english": F.col("lang") == "en", "even": F.col("doc_id") % 2 == 0, "all": F.lit(True)}, F.col("truth"), F.col("said"))
+
+
+@query("""WITH v AS (SELECT doc_id, quality = 1 AS truth, CAST(length(text) > 200 AS INT) + CAST(length(text) < 8000 AS INT) + CAST(NOT contains(text, '|') AS INT) + CAST(NOT contains(text, '%') AS INT) + CAST(NOT contains(text, '###') AS INT) AS votes FROM documents JOIN labels USING (doc_id))
+ SELECT CAST(k AS INT) AS k, count(*) FILTER (votes >= k) AS accepted, count(*) FILTER (votes >= k AND truth) AS right_ones FROM v, range(1, 6) g(k) GROUP BY 1""")
+def q_vote_sweep(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    votes = [F.length("text") > 200, F.length("text") < 8000, ~F.col("text").contains("|"), ~F.col("text").contains("%"), ~F.col("text").contains("###")]
+    return E.vote_sweep(rows, votes, F.col("quality") == 1)
+
+
+# ---- text ----
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(lower(html), '[^a-z0-9 \t\n\x0B\f\r]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm, md5(regexp_replace(lower(html), '[^a-z0-9]', '', 'g')) AS flat FROM pages""")
+def q_clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.normalize_title(F.col("html")).alias("norm"), F.md5(T.flat(F.col("html")).cast("binary")).alias("flat"))
+
+
+@query()
+def q_unescaped_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_article(F.col("html")).alias("article"), T.clean_inline(F.col("html")).alias("inline"), T.plain_text(F.col("html")).alias("plain"), T.clean_entities("html").alias("entities"))
+
+
+@query()
+def q_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("nth", "sentence"))
+
+
+@query(r"""WITH b AS (SELECT item_id % 10 AS bucket, item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS x, b.t AS y FROM b a JOIN b b ON a.bucket = b.bucket AND a.item_id < b.item_id)
+ SELECT a, b, round(len(list_intersect(x, y)) / CAST(least(len(x), len(y)) AS DOUBLE), 6) AS overlap, round(len(list_intersect(x, y)) / CAST(len(x) AS DOUBLE), 6) AS coverage FROM p""")
+def q_overlap_coverage(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("bucket"), "item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    a, b = rows.select("bucket", F.col("item_id").alias("a"), F.col("t").alias("x")), rows.select("bucket", F.col("item_id").alias("b"), F.col("t").alias("y"))
+    return a.join(b, "bucket").filter("a < b").select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"), F.round(T.coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
+
+
+# ---- storyboard, checks, store ----
+
+
+@query("""WITH d AS (SELECT conv_id, turn, length(text) / 20.0 AS secs FROM conversations), n AS (SELECT *, greatest(1, CAST(ceil(secs / 7.5) AS INT)) AS k FROM d)
+ SELECT conv_id, turn, CAST(i AS INT) AS nth, round(secs * i / k, 6) AS "start", round(secs * (i + 1) / k, 6) AS "end" FROM n, range(10000) g(i) WHERE i < k""")
+def q_hold_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(W.hold_parts(F.length("text") / 20.0, 7.5)).alias("p"))
+    return rows.select("conv_id", "turn", "p.nth", F.round("p.start", 6).alias("start"), F.round("p.end", 6).alias("end"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, count(l_linenumber) AS n, count(*) FILTER (l_quantity IS NULL) AS bad, coalesce(sum(l_quantity), 0) AS q FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+ SELECT o_orderkey, 'count' AS check_name, n = 4 AS passed FROM a UNION ALL SELECT o_orderkey, 'links', CASE WHEN n > 0 THEN bad = 0 END FROM a UNION ALL SELECT o_orderkey, 'duration', q <= 120 FROM a""")
+def q_qa_checks(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity").isNull()).alias("bad"), F.sum("l_quantity").alias("q"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["n", "bad", "q"])
+    return S.checks(rows, ["o_orderkey"], {"count": F.col("n") == 4, "links": F.when(F.col("n") > 0, F.col("bad") == 0), "duration": F.col("q") <= 120})
+
+
+@query("""SELECT stage, CAST(done AS BIGINT) AS done, CASE WHEN done = 0 THEN 'pending' WHEN done < total THEN 'running' ELSE 'complete' END AS status FROM (SELECT count(*) AS total, count(*) AS a, count(quality) AS b, count(*) FILTER (quality = 1) AS c FROM documents LEFT JOIN labels USING (doc_id)) t, LATERAL (VALUES ('collected', a), ('classified', b), ('accepted', c)) v(stage, done)""")
+def q_pipeline_stages(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    one = rows.agg(F.count("*").alias("total"), F.count("*").alias("collected"), F.count("quality").alias("classified"), F.count_if(F.col("quality") == 1).alias("accepted"))
+    return S.stage_report(one, "total", ["collected", "classified", "accepted"])
+
+
+@query("""WITH a AS (SELECT event_id, user_id, 1 AS pass FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, user_id, 2 AS pass FROM events WHERE event_id % 2 = 0)
+ SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(b.pass, a.pass) AS INT) AS pass FROM a FULL JOIN b ON a.event_id = b.event_id""")
+def q_merge_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return J.merge(rows.filter("event_id % 3 <> 0").withColumn("pass", F.lit(1)), rows.filter("event_id % 2 = 0").withColumn("pass", F.lit(2)), ["event_id"], {"pass": F.col("i.pass")})
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 0 END, quality) AS decision FROM labels""")
+def q_override(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.when(F.col("toxic") == 1, 0), F.col("quality")).alias("decision"))
