@@ -13,7 +13,8 @@ from . import classify as C
 
 def recency(published: Column, now: Column, hours: float = X.RECENCY_HOURS) -> Column:
     """1 at ``now``, 0 from ``hours`` before on; an unknown time is 0."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - T.hours_between(now, published) / hours)), F.lit(0.0))
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - T.hours_between(now, published) / hours))
+    return F.when(published.isNotNull() & now.isNotNull(), near).otherwise(F.lit(0.0))
 
 
 def momentum(outlets: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators import briefing as B
 from tidewire.operators import classify as C
 from tidewire.operators import dedup as D
 from tidewire.operators import evaluate as E
@@ -19,6 +20,9 @@ from tidewire.operators import ranking as R
 from tidewire.operators import storyboard as S
 from tidewire.operators import windows as W
 
+from tidewire.sources import pages as PG
+from tidewire.streaming import daily
+
 from .adapters import NEWS, news, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -503,3 +507,60 @@ def q_merge_upsert(spark, sf_dir):
 @query("""SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 0 END, quality) AS decision FROM labels""")
 def q_override(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.when(F.col("toxic") == 1, 0), F.col("quality")).alias("decision"))
+
+
+@query()
+def q_briefs(spark, sf_dir):
+    rows = news(spark, sf_dir).select("id", "title", F.lit(None).cast("string").alias("raw_summary"), "raw_content")
+    return B.briefs(rows, names=KEYWORDS)
+
+
+@query()
+def q_siblings(spark, sf_dir):
+    rows = news(spark, sf_dir)
+    heads = rows.groupBy("content_hash").agg(F.min("id").alias("canonical"))
+    return B.siblings(rows.join(heads, "content_hash").select("id", "canonical", "source_name", (F.length("raw_content") > 0).alias("has_text")))
+
+
+@query()
+def q_support_fact(spark, sf_dir):
+    return B.support_fact(news(spark, sf_dir), "id", "raw_content")
+
+
+@query()
+def q_cues(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    each = rows.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("at", "text"))
+    return B.cues(each.withColumn("start", F.col("at") * 10.0).withColumn("end", F.col("start") + F.length("text") / 15.0), ["conv_id", "turn", "at"])
+
+
+@query()
+def q_storyboard(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("start"), (F.length("text") / 20.0).alias("secs"))
+    ends = F.sum("secs").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    kind = S.segment_type(F.col("text"), F.array(F.lit("the")), F.array(F.lit("la")))
+    return S.scenes(rows.withColumn("end", ends).withColumn("start", F.col("end") - F.col("secs")).withColumn("kind", kind), "conv_id", "turn")
+
+
+@query()
+def q_captions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("text", (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 5.0).alias("end")).alias("s"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"])
+    return rows.groupBy("conv_id").agg(S.subtitles(W.cues(lines)).alias("captions"))
+
+
+@query()
+def q_html_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages")
+    return rows.select("page_id", PG.page_description("html").alias("description"), PG.page_body("html").alias("b")).select("page_id", "description", "b.*")
+
+
+@query()
+def q_stream_daily(spark, sf_dir):
+    from tempfile import mkdtemp
+
+    where = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="tidewire-")
+    import uuid
+
+    out = daily.run_once(daily.day_counts(daily.arrivals(spark, f"{sf_dir.rstrip('/')}/events.parquet")), f"{where.rstrip('/')}/tidewire/stream-{uuid.uuid4().hex}")
+    return out.select(F.col("window.start").cast("string").alias("day_start"), "event_type", "n", F.round("value", 4).alias("value"))
