@@ -9,7 +9,8 @@ A shard holds about ``shard_words`` words, so a source with a third of all rows
 sources and of shards are ranked as wholes.
 
 Defined results: a null text has size 0 and nothing taken; a null source is a source of its own, last in order; rows
-that repeat a doc_id are counted and taken each; a null doc_id takes part. Empty table: no rows.
+that repeat a doc_id are counted and taken each; a null doc_id takes part. In the mixed
+documents those without words do not appear. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.col("__c_text")
     words = F.array_remove(F.split(whole, f"[{SPACE}]+"), "")
     part = F.when(F.col("__part") == F.col("size"), whole).otherwise(F.array_join(F.concat(F.slice(words, F.col("__from").cast("int") + 1, F.col("__part").cast("int"))), " "))
-    rows = rows.filter("(__copy > 0 and __copy <= __rounds) or (__copy = 0 and __part > 0)")
+    rows = rows.filter("(__copy > 0 and __copy <= __rounds and size > 0) or (__copy = 0 and __part > 0)")
     rows = rows.withColumn("__text", F.when(F.col("__copy") > 0, whole).otherwise(part))
     out = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return rows.select(*(out.get(c, F.col(f"__c_{c}")).alias(c) for c in columns))
