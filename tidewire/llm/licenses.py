@@ -73,7 +73,7 @@ def terms_of(text: Column) -> Column:
 
 
 def stated(files: DataFrame, *, cutoff: float = 0.6, file_terms: int = 2000) -> DataFrame:
-    """``files`` (path, text, others) with ``licence`` and ``score``: what a file states itself, and ``first``: whether its first sentence does."""
+    """``files`` (path, text, others) with ``licence`` and ``score``: what a file states itself, and ``edge``: whether its first or last sentence does."""
     names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     mentions = F.lit(False)
@@ -81,16 +81,17 @@ def stated(files: DataFrame, *, cutoff: float = 0.6, file_terms: int = 2000) ->
         mentions = mentions | low.contains(m)
     mention = lambda s: F.exists(F.array(*map(F.lit, MENTIONS)), lambda m: F.contains(F.lower(s), m))
     sentences = F.transform(F.split("text", "[.!?]\\s|\n", -1), lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    last = F.size(F.split("text", "[.!?]\\s|\n", -1)) - 1
     found = F.when(mentions, F.filter(sentences, lambda x: mention(x["s"])))
-    rows = files.withColumn("__found", found)
+    rows = files.withColumn("__found", found).withColumn("__last", F.when(F.col("__found").isNotNull(), last))
     each = F.transform("__found", lambda x: F.struct(_best(terms_of(x["s"])).alias("best"), (-x["i"]).alias("i")))
     whole = F.when(F.regexp_like(F.col("path"), F.lit(LICENCE_FILE)) & F.col("__found").isNotNull(), _best(F.slice(terms_of(F.col("text")), 1, file_terms)))
     rows = rows.withColumn("__each", F.array_max(each)).withColumn("__whole", whole)
     rows = rows.withColumn("__best", F.greatest(F.col("__each.best"), F.col("__whole")))
     enough = F.coalesce(F.col("__best.score") >= cutoff, F.lit(False))
     rows = rows.withColumn("licence", F.when(enough, F.get(names, -F.col("__best.nth"))))
-    rows = rows.withColumn("score", F.round(F.coalesce(F.col("__best.score"), F.lit(0.0)), 6)).withColumn("first", enough & F.coalesce(F.col("__each.i") == 0, F.lit(False)))
-    return rows.drop("__found", "__each", "__whole", "__best")
+    rows = rows.withColumn("score", F.round(F.coalesce(F.col("__best.score"), F.lit(0.0)), 6)).withColumn("edge", enough & F.coalesce((F.col("__each.i") == 0) | (-F.col("__each.i") == F.col("__last")), F.lit(False)))
+    return rows.drop("__found", "__last", "__each", "__whole", "__best")
 
 
 def directory(path: Column) -> Column:
@@ -118,11 +119,11 @@ def scan(files: DataFrame, *, cutoff: float = 0.6) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame, *, cutoff: float = 0.6, folder: int = 1000) -> DataFrame:
-    """The scan of ``docs`` (doc_id, text, lang, source), laid out as files source/lang/thousands/doc_id; one whose first sentence states a licence is its directory's licence file."""
+    """The scan of ``docs`` (doc_id, text, lang, source), laid out as files source/lang/thousands/doc_id; one whose first or last sentence states a licence is its directory's licence file."""
     tables = Tables(docs.sparkSession, "licenses")
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     path = F.concat_ws("/", unknown("source"), unknown("lang"), F.floor(F.col("doc_id") / folder).cast("string"), F.col("doc_id").cast("string"))
     files = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
     rows = tables.keep(stated(files, cutoff=cutoff).drop("text"), "stated")
-    rows = inherited(rows.withColumnRenamed("first", "is_file"))
+    rows = inherited(rows.withColumnRenamed("edge", "is_file"))
     return rows.select("doc_id", "path", "licence", "score", "from_dir", "inherited", F.coalesce("licence", "inherited").alias("effective"))
