@@ -7,13 +7,19 @@ component holds what links reach.
 How no group is paired out in full:
 
 1. Documents with equal sets become one class (its smallest doc_id), by a fingerprint of the set, before anything else.
-2. In each bucket of a band every class meets only the bucket's leader; two such rounds with different leaders join
-   nearly all of a group of near copies into one component. Their cost is linear in the bucket.
-3. What is left - buckets of four classes or more in which classes of different components never met - is compared in
-   blocks of signatures inside numpy, where pairs of one component are skipped and only surviving pairs leave.
+2. In each bucket of a band every class meets only the bucket's leader. As a class has many buckets and leaders, this
+   joins nearly all of a group of near copies into one component. Its cost is linear in the bucket.
+3. What is left - classes of buckets of three or more in which classes of different components never met - meets again
+   by an exact filter: two sets of the wanted similarity share one of their rarest shingles, a quarter of each set. A
+   passage that many documents share is not among these, so it makes no pairs. Classes with such a shingle in common
+   are compared in blocks inside numpy, where pairs of one component are skipped. Near copies of one lost original can
+   be thousands that are all similar but not enough; so by its commonest rare shingles, a few for each class, blocks
+   carry the full sets and only true links leave. Blocks of the other shingles carry signatures, skip what the first
+   have compared, and pass on surviving pairs.
 
 Candidates go through the sequential test (Bayesian LSH): after each batch of 16 signature values a pair is dropped
-when the posterior chance that its similarity reaches the threshold is under ``miss``. Survivors are confirmed on the
+when the posterior chance that its similarity reaches the threshold is under ``miss``. The first 128 values decide most
+pairs; only for the rest the other 384 are looked up. A value is kept in 8 bits; chance matches only keep pairs. Survivors are confirmed on the
 full sets made from the texts.
 
 Defined results: null or empty text: 0 shingles, linked with nothing. Rows that repeat a doc_id are answered each by
@@ -27,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, Tables, chain, lists, mix, text_bytes
 
-HASHES, ROWS, BATCH = 128, 4, 16
-BANDS = HASHES // ROWS
+HASHES, FIRST, ROWS, BATCH = 512, 128, 4, 16
+BANDS = FIRST // ROWS
 WIDTH = 5
 BLOCK = 512
+HOMES, CROWD = 4, 16
+COUNTER_BITS = 20
+COUNTERS = 1 << COUNTER_BITS
 
 _rng = np.random.default_rng(20240817)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,8 +67,8 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
 def signature(s: np.ndarray) -> np.ndarray:
     """The smallest value of each of the hash functions over a set, in slices so that long texts stay in memory."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 1024):
-        np.minimum(out, (s[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
+    for i in range(0, len(s), 512):
+        np.minimum(out, (s[i : i + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
     return out
 
 
@@ -67,7 +76,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
-            n, fp1, fp2, sigs, bands = [], [], [], [], []
+            n, fp1, fp2, sigs, more, bands = [], [], [], [], [], []
             for t in part.column(1):
                 s = shingles(t.as_py())
                 n.append(len(s))
@@ -75,19 +84,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51ED270B)))) if len(s) else 0)
                 if len(s):
                     m = signature(s)
-                    sigs.append(((m >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                    q = m.reshape(BANDS, ROWS)
+                    low = (m >> np.uint64(16)).astype(np.uint8)
+                    sigs.append(low[:FIRST].tobytes())
+                    more.append(low[FIRST:].tobytes())
+                    q = m[:FIRST].reshape(BANDS, ROWS)
                     bands.append(mix(chain([q[:, i] for i in range(ROWS)]) ^ _BAND).view(np.int64))
                 else:
                     sigs.append(b"")
+                    more.append(b"")
                     bands.append(np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), lists(bands, pa.int64())],
-                ["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(more, pa.binary()), lists(bands, pa.int64())],
+                ["doc_id", "n_shingles", "fp1", "fp2", "sig", "more", "bands"],
             )
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, bands array<bigint>"
+SKETCH = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, more binary, bands array<bigint>"
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -104,27 +116,32 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """Row numbers of the signature pairs that no batch rules out."""
-    live, hits, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+def _survivors(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]], hits: np.ndarray | int = 0, done: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the signature pairs that no batch rules out, and the matches of each; ``hits`` of ``done`` values came before."""
+    live, hits, start = np.arange(len(a)), hits + np.zeros(len(a), np.int64), done
     for n, least in bounds:
-        hits[live] += (a[live, done:n] == b[live, done:n]).sum(axis=1)
-        live, done = live[hits[live] >= least], n
-        if not len(live):
-            break
-    return live
+        if start < n <= start + a.shape[1]:
+            hits[live] += (a[live, done - start : n - start] == b[live, done - start : n - start]).sum(axis=1)
+            live, done = live[hits[live] >= least], n
+            if not len(live):
+                break
+    return live, hits[live]
 
 
 def _matrix(sigs) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, HASHES)
+    sigs = sigs.to_pylist()
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+
 
+def _judge(bounds, done: int):
+    """Rows (a, b, hits, one signature, the other) that go on after the values in the signatures."""
 
-def _judge(bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                live = pa.array(_survivors(_matrix(b.column(2)), _matrix(b.column(3)), bounds))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(live), b.column(1).take(live)], ["a", "b"])
+                live, hits = _survivors(_matrix(b.column(3)), _matrix(b.column(4)), bounds, b.column(2).to_numpy(), done)
+                at = pa.array(live)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(hits)], ["a", "b", "hits"])
 
     return run
 
@@ -148,40 +165,108 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(bounds):
-    """Over rows sorted by (key, cell): all comparisons of a cell's two blocks, between different components only."""
+def _by_signature(bounds):
+    """The comparer of a cell's rows (rep, comp, side, signature, homes): pairs of different components without a home in common that may be similar."""
+
+    def cell(rep, comp, side, sigs, homes):
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, FIRST)
+        home = np.array([[*h, *[0] * (HOMES - len(h))] for h in homes], np.int64)
+        for i in np.flatnonzero(side <= 0):
+            j = _others(i, comp, side)
+            if len(j):
+                met = ((home[j][:, :, None] == home[i]) & (home[i] != 0)).any(axis=(1, 2))
+                j = j[~met]
+                ok, _ = _survivors(np.broadcast_to(sig[i], (len(j), FIRST)), sig[j], bounds)
+                yield from ((i, k) for k in j[ok])
+
+    return cell
+
+
+def _by_set(percent: int):
+    """The comparer of a cell's rows (rep, comp, side, full set, -): true links between different components. Sets are held as numbers of the cell's shingles, so a row meets all others in one pass."""
 
-    def cell(rows: list[tuple], side: np.ndarray) -> Iterator[tuple[int, int]]:
-        rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, HASHES)
-        left = np.flatnonzero(side <= 0)
-        right = np.flatnonzero(side >= 0)
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((side[right] > 0) | (right > i) if side[i] == 0 else True)]
+    def cell(rep, comp, side, sets, _):
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        size = np.array([len(x) for x in sets])
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        start, mark = np.cumsum(size) - size, np.zeros(number.max() + 1, bool)
+        for i in np.flatnonzero(side <= 0):
+            j = _others(i, comp, side)
+            j = j[(100 * size[j] >= percent * size[i]) & (100 * size[i] >= percent * size[j])]
             if len(j):
-                ok = _survivors(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], bounds)
-                for k in j[ok]:
-                    yield (int(min(rep[i], rep[k])), int(max(rep[i], rep[k])))
+                own = number[start[i] : start[i] + size[i]]
+                mark[own] = True
+                both = np.array([np.count_nonzero(mark[number[start[k] : start[k] + size[k]]]) for k in j])
+                mark[own] = False
+                yield from ((i, k) for k in j[100 * both >= percent * (size[i] + size[j] - both)])
+
+    return cell
+
+
+def _others(i: int, comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whom row i of a cell is compared with: the other block, or in a block's own cell the rows after it."""
+    j = np.flatnonzero((side >= 0) & (comp != comp[i]))
+    return j if side[i] else j[j > i]
+
+
+def _cells(compare):
+    """Over rows (key, cell, side, rep, comp, payload, homes) sorted by (key, cell): the pairs that ``compare`` finds in each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, side, out = None, [], [], []
+        now, rows, out = None, [], []
 
         def flush():
             if len(rows) > 1:
-                out.extend(cell(rows, np.array(side)))
+                side, rep, comp, load, homes = zip(*rows, strict=True)
+                rep = np.array(rep)
+                out.extend((int(min(rep[i], rep[k])), int(max(rep[i], rep[k]))) for i, k in compare(rep, np.array(comp), np.array(side), load, homes))
 
         for b in batches:
-            for key, c, s, rep, comp, sig in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, c) != now:
                     flush()
-                    now, rows, side = (key, c), [], []
-                rows.append((rep, comp, sig))
-                side.append(s)
+                    now, rows = (key, c), []
+                rows.append(row)
             if len(out) > 10_000:
-                yield _pairs(out)
+                yield _pairs(list(set(out)))
                 out = []
         flush()
-        yield _pairs(out)
+        yield _pairs(list(set(out)))
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low in range(0, b.num_rows, 1000):
+            part = b.slice(low, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["rep", "load"])
+
+
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles fall on each of a fixed number of counters."""
+    n = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for t in b.column(1):
+            np.add.at(n, (shingles(t.as_py()) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], ["at", "n"])
+
+
+def _rarest(often, percent: int):
+    """The shingles of each set that come first when the rarest do, as many as two sets of the wanted similarity cannot both have to themselves. Any one order for all sets is right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = often.value
+        for b in batches:
+            for low in range(0, b.num_rows, 1000):
+                part, keys = b.slice(low, 1000), []
+                for t in part.column(1):
+                    s = shingles(t.as_py())
+                    order = np.lexsort((s, n[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+                    keys.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]].view(np.int64))
+                reps = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["rep", "key"])
 
     return run
 
@@ -213,42 +298,61 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
     sketch = tables.keep(source.mapInArrow(_sketch, SKETCH), "sketch")
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = tables.keep(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    classes = tables.keep(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    sigs = classes.select("rep", "sig")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b): those that the sequential test leaves and the full sets confirm."""
-        pairs = pairs.filter("a <> b").distinct()
-        signed = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        left = tables.keep(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_judge(bounds), "a bigint, b bigint").distinct(), "survivors")
+        left = pairs.filter("a <> b").distinct().withColumn("hits", F.lit(0).cast("long"))
+        for column, done in (("sig", 0), ("more", FIRST)):
+            of = lambda p: classes.select(F.col("rep").alias(p), F.col(column).alias(f"s_{p}"))  # noqa: E731, B023
+            signed = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hits", "s_a", "s_b")
+            left = tables.keep(signed.mapInArrow(_judge(bounds, done), "a bigint, b bigint, hits bigint").dropDuplicates(["a", "b"]), "survivors")
+        left = left.select("a", "b")
         texts = source.join(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "doc_id", "left_semi")
         full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return tables.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), "links")
 
-    def open_buckets(labels: DataFrame, least: int) -> DataFrame:
-        """(key, rep, comp, n) of buckets with ``least`` classes or more in more than one component."""
-        placed = banded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n >= {least} and lo <> hi").select("key", "n")
-        return placed.join(keys, "key")
-
-    # Round 1: the leader is the smallest class of the bucket.
+    # Each class meets the leader of its bucket, the smallest.
     leaders = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
     links = confirmed(banded.join(leaders, "key").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     labels = components(tables, links)
-    # Round 2: another leader, drawn by a hash, in buckets that still hold several components.
-    unmet = tables.keep(open_buckets(labels, 3), "open")
-    order = F.struct(F.xxhash64("key", "rep").alias("h"), F.col("rep").alias("rep"), F.col("comp").alias("comp"))
-    second = unmet.join(unmet.groupBy("key").agg(F.min(order).alias("lead")), "key").filter("comp <> lead.comp")
-    more = confirmed(second.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")))
-    links = tables.keep(links.union(more), "links")
-    labels = components(tables, links)
-    # Round 3: what never met, in blocks. A bucket of n classes has ceil(n / BLOCK) blocks; a cell joins two of them.
-    rest = open_buckets(labels, 4).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rest.select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "rep", "comp")
-    cells = cells.join(sigs, "rep").select("key", "cell", "side", "rep", "comp", "sig")
-    last = confirmed(cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_block_pairs(bounds), "a bigint, b bigint"))
+
+    # Classes that shared a bucket with another component and may not have met it.
+    def placed(keyed: DataFrame) -> DataFrame:
+        return keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+
+    def mixed(rows: DataFrame, least: int) -> DataFrame:
+        return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n >= {least} and lo <> hi").select("key", "n")
+
+    at = placed(banded)
+    unmet = at.join(mixed(at, 3), "key").select(F.col("rep").alias("doc_id")).distinct()
+    texts = tables.keep(source.join(unmet, "doc_id", "left_semi"), "unmet")
+    often = np.zeros(COUNTERS, np.int64)
+    sums = texts.mapInArrow(_counters, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    often[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    rare = tables.keep(texts.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "rep bigint, key bigint"), "rare")
+    at = placed(rare)
+    rest = tables.keep(at.join(mixed(at, 2), "key"), "rest")
+    crowded = rest.filter(F.col("n") > CROWD)
+    chosen = crowded.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= HOMES)
+    chosen = tables.keep(chosen.select("key", "rep", "comp"), "homes")
+    homes = chosen.groupBy("rep").agg(F.collect_list("key").alias("homes"))  # HOMES keys at most
+    none = F.array().cast("array<bigint>")
+
+    def compared(rows: DataFrame, compare) -> DataFrame:
+        """(a, b) that ``compare`` finds in rows (key, n, rep, comp, load, homes). A key of n classes has ceil(n / BLOCK) blocks; a cell joins two of them."""
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+        cells = rows.select("key", cell.alias("cell"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "rep", "comp", "load", "homes")
+        return cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cells(compare), "a bigint, b bigint")
+
+    counted = chosen.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "n")
+    full = texts.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, load binary")
+    true = compared(chosen.join(counted, "key").join(full, "rep").withColumn("homes", none), _by_set(percent))
+    others = rest.join(classes.select("rep", F.col("sig").alias("load")), "rep").join(homes, "rep", "left").withColumn("homes", F.coalesce("homes", none))
+    last = tables.keep(true.distinct(), "crowds").union(confirmed(compared(others, _by_signature(bounds))))
     labels = components(tables, links.union(last))
 
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
