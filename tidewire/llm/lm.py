@@ -82,7 +82,7 @@ class Filter:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, hash, count) of words and pairs, summed over about a million at a time."""
+    """(n, hash, count) of words and pairs, summed over half a million at a time."""
     ones, twos, held = [], [], 0
 
     def emit():
@@ -100,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ones.append(all_[1:])
             twos.append(pair(all_[:-1], all_[1:]))
             held += len(all_)
-        if held > 1_000_000:
+        if held > 500_000:
             yield emit()
             held = 0
     yield emit()
@@ -154,7 +154,7 @@ def _score(sent, hot, total: int, distinct: int, mu: float):
             at = 0
             while at < b.num_rows:
                 docs, ids, held = [], [], 0
-                while at < b.num_rows and held < 500_000:
+                while at < b.num_rows and held < 200_000:
                     h = WORDS.of(b.column("__bytes")[at].as_py().lower().split())
                     docs.append(np.append(h, END))
                     held += len(docs[-1])
