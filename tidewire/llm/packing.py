@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 class Chunks(dict):
     """Token ids, as little-endian bytes, of a space and a run of text without spaces; two generations, so memory has a bound and frequent runs stay."""
 
-    LIMIT, LONGEST = 150_000, 40
+    LIMIT, LONGEST = 400_000, 40
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,7 +43,10 @@ class Chunks(dict):
         self.model, self.old = Tokenizer.from_file(path), {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.model.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
