@@ -5,8 +5,8 @@ list is compared with each profile by out-of-place distance: the sum, over the d
 stands from its place in the profile, with the profile's length for those it lacks. The nearest profile names the
 language; the score is one less the distance over the largest possible one.
 
-Profiles come from all training rows: workers count words by language, sums are shuffled, and n-grams are counted from
-the words' sums. Per language the lists are bounded, so only ``keep`` n-grams of each bucket reach the driver.
+Profiles come from all training rows: workers count n-grams by language and sums are shuffled. Per language the lists
+are bounded, so only ``keep`` n-grams of each bucket reach the driver.
 
 An n-gram is held as one integer of its code points, which also breaks ties of frequency.
 
@@ -16,7 +16,6 @@ learned. A row without doc_id is never learned from. Rows that repeat are answer
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,90 +27,95 @@ from .common import held_out
 
 KEEP, LONGEST = 300, 3
 BUCKETS = 64
-_END = np.array([32], np.int64)
+WIDEST = 100  # different characters up to which counts fit a table
 
 
-def grams(word: str) -> np.ndarray:
-    """The n-grams of a word, marked by a space at both ends and without what is no letter; each as an integer."""
-    kept = "".join(c if c.isalpha() else " " for c in word).split()
-    out = []
-    for w in kept:
-        p = np.concatenate([_END, np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64), _END])
-        out.append(p[1:-1])
-        out += [p[:-1] << 21 | p[1:]]
-        if len(p) > 2:
-            out.append(p[:-2] << 42 | p[1:-1] << 21 | p[2:])
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-class Grams(dict):
-    """n-grams of words met lately."""
-
-    LIMIT, LONGEST = 60_000, 24
-
-    def __missing__(self, word: str) -> np.ndarray:
-        g = grams(word)
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = g
-        return g
-
-
-_GRAMS = Grams()
-
-
-def ranked(words: Counter, keep: int = KEEP) -> np.ndarray:
-    """The most frequent n-grams, most frequent first, ties to the smaller integer."""
-    parts = [_GRAMS[w] for w in words]
-    if not parts:
-        return np.empty(0, np.int64)
-    every = np.concatenate(parts)
-    if not len(every):
-        return every
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    found, inverse = np.unique(every, return_inverse=True)
-    n = np.bincount(inverse, weights=times)
-    if len(n) > keep:
-        least = -np.partition(-n, keep - 1)[keep - 1]
-        chosen = np.flatnonzero(n >= least)
-    else:
-        chosen = np.arange(len(n))
-    return found[chosen[np.lexsort((found[chosen], -n[chosen]))[:keep]]]
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters."""
+    if codes.max(initial=0) < len(_LETTER):
+        return _LETTER[codes]
+    found, at = np.unique(codes, return_inverse=True)
+    return np.array([chr(c).isalpha() for c in found])[at]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, Counter] = {}
+_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
 
-    def emit():
-        rows = [(lang, w, n) for lang, c in sums.items() for w, n in c.items()]
-        sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
-    for b in batches:
-        for lang, text in zip(b.column(0), b.column(1), strict=True):
-            sums.setdefault(lang.as_py(), Counter()).update(text.as_py().lower().split())
-            if sum(map(len, sums.values())) > 200_000:
-                yield emit()
-    yield emit()
+def points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, a space for all that is no letter, one at both ends."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    out = np.full(len(codes) + 2, 32, np.int64)
+    out[1:-1] = np.where(_letters(codes), codes, 32)
+    return out
+
+
+def grams(p: np.ndarray) -> np.ndarray:
+    """The n-grams of a row of code points, each as an integer: letters, pairs with a letter, and triples with a letter in the middle."""
+    is_letter = p != 32
+    two = p[:-1] << 21 | p[1:]
+    three = two[:-1] << 21 | p[2:]
+    return np.concatenate([p[is_letter], two[is_letter[:-1] | is_letter[1:]], three[is_letter[1:-1]]])
+
+
+def _best(found: np.ndarray, n: np.ndarray, keep: int) -> np.ndarray:
+    """The ``keep`` most frequent, most frequent first, ties to the smaller integer."""
+    if len(n) > keep:
+        chosen = np.flatnonzero(n >= np.partition(n, len(n) - keep)[len(n) - keep])
+        found, n = found[chosen], n[chosen]
+    return found[np.argsort(-n, kind="stable")[:keep]]
+
+
+def ranked(text: str, keep: int = KEEP) -> np.ndarray:
+    """The most frequent n-grams of a text in order."""
+    return _best(*np.unique(grams(points(text)), return_counts=True), keep)
+
+
+def _counted(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of many code points, and how often each occurs."""
+    alphabet = np.flatnonzero(np.bincount(p, minlength=33)) if p.max() < len(_LETTER) else []
+    size = len(alphabet)
+    if not 0 < size <= WIDEST:
+        return np.unique(grams(p), return_counts=True)
+    table = np.zeros(alphabet[-1] + 1, np.int64)
+    table[alphabet] = np.arange(size)
+    code = table[p]
+    is_letter = p != 32
+    two = code[:-1] * size + code[1:]
+    three = two[:-1] * size + code[2:]
+    out = []
+    for codes, width in ((code[is_letter], 1), (two[is_letter[:-1] | is_letter[1:]], 2), (three[is_letter[1:-1]], 3)):
+        n = np.bincount(codes, minlength=1)
+        at = np.flatnonzero(n)
+        gram = sum(alphabet[at // size ** (width - 1 - i) % size] << 21 * (width - 1 - i) for i in range(width))
+        out.append((gram, n[at]))
+    return np.concatenate([g for g, _ in out]), np.concatenate([n for _, n in out])
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n), summed over about a million characters at a time."""
+
+    def emit(held: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+        sums = [(lang, *_counted(np.concatenate(parts))) for lang, parts in held.items()]
+        langs = [lang for lang, g, _ in sums for _ in range(len(g))]
+        empty = np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([empty, *(g for _, g, _ in sums)])), pa.array(np.concatenate([empty, *(n for *_, n in sums)]))], ["lang", "gram", "n"])
+
+    held, size = {}, 0
     for b in batches:
-        langs, words, times = b.column(0).to_pylist(), b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), np.int64)
-        for lang in sorted(set(langs)):
-            rows = [i for i, x in enumerate(langs) if x == lang]
-            parts = [grams(words[i]) for i in rows]
-            found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-            n = np.bincount(inverse, weights=np.repeat(times[rows], [len(p) for p in parts])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
+        for lang, text in zip(b.column(0), b.column(1), strict=True):
+            p = points(text.as_py())
+            held.setdefault(lang.as_py(), []).append(p)
+            size += len(p)
+            if size > 1_000_000:
+                yield emit(held)
+                held, size = {}, 0
+    yield emit(held)
 
 
 def profiles(docs: DataFrame, *, folds: int = 5, keep: int = KEEP) -> dict[str, np.ndarray]:
     """Ranked n-grams of each language, from training rows of ``docs`` (doc_id, text, lang) with a language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(~held_out(F.col("doc_id"), folds))
-    words = rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    sums = words.mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     within = Window.partitionBy("lang", "bucket").orderBy(F.col("n").desc(), "gram")
     top = sums.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))).withColumn("r", F.row_number().over(within)).filter(F.col("r") <= keep)
     got = top.select("lang", "gram", "n").toPandas().sort_values(["n", "gram"], ascending=[False, True])  # BUCKETS * keep rows a language at most
@@ -129,7 +133,7 @@ class Profiles:
             self.places[np.searchsorted(self.keys, lists[lang]), k] = np.arange(len(lists[lang]))
 
     def nearest(self, text: str | None) -> tuple[str, float]:
-        own = ranked(Counter(text.lower().split()), self.keep) if text and self.langs else ()
+        own = ranked(text, self.keep) if text and self.langs else ()
         if not len(own):
             return "und", 0.0
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
