@@ -47,8 +47,8 @@ COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 
 _rng = np.random.default_rng(20240817)
-_MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -65,10 +65,10 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set, in slices so that long texts stay in memory."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 512):
-        np.minimum(out, (s[i : i + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
+    """The smallest 32-bit value of each of the hash functions over a set, in slices so that long texts stay in memory. (Processors multiply 32 bits many at a time.)"""
+    out, x = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32), s.astype(np.uint32)
+    for i in range(0, len(x), 256):
+        np.minimum(out, (x[i : i + 256, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
     return out
 
 
@@ -84,10 +84,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp2.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51ED270B)))) if len(s) else 0)
                 if len(s):
                     m = signature(s)
-                    low = (m >> np.uint64(16)).astype(np.uint8)
+                    low = ((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
                     sigs.append(low[:FIRST].tobytes())
                     more.append(low[FIRST:].tobytes())
-                    q = m[:FIRST].reshape(BANDS, ROWS)
+                    q = m[:FIRST].astype(np.uint64).reshape(BANDS, ROWS)
                     bands.append(mix(chain([q[:, i] for i in range(ROWS)]) ^ _BAND).view(np.int64))
                 else:
                     sigs.append(b"")
