@@ -46,6 +46,15 @@ def _vectors(bits: int):
     return run
 
 
+def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of one numpy array a chunk, without a Python object for each number."""
+    out = []
+    for chunk in column.chunks:
+        values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], *, bits: int = BITS, epochs: int = 10, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept, by per-coordinate FTRL-proximal updates, one row at a time in a fixed order."""
     size = (1 << bits) + 1
@@ -72,7 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: i
     chosen = marks.filter(~held_out(F.col("doc_id"), folds)).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     got = texts.orderBy("doc_id").select(text_bytes(F.col("text")).alias("text"), "label").mapInArrow(_vectors(bits), "index array<int>, value array<float>, label int").toArrow()  # ``sample`` rows
-    rows = [(np.array(i, np.int64), np.array(v), y) for i, v, y in zip(got["index"].to_pylist(), got["value"].to_pylist(), got["label"].to_pylist(), strict=True)]
+    index, value = _slices(got["index"]), _slices(got["value"])
+    rows = list(zip(index, value, got["label"].to_pylist(), strict=True))
+    del got
     seen = {y for _, _, y in rows}
     if len(seen) < 2:
         return np.zeros(1 << bits, np.float32), {0: -30.0, 1: 30.0}.get(next(iter(seen), None), 0.0)
