@@ -245,6 +245,26 @@ def test_filter_gives_counts_back(spark):
     assert (f.counts(rng.integers(1, 1 << 62, 3000).view(np.uint64)) > 0).mean() < 0.02
 
 
+def test_filter_grows_at_one_error_rate(spark):
+    texts = lambda n: spark.createDataFrame([(" ".join(words(i, 200)).encode(),) for i in range(n)], "__bytes binary")
+    sizes = []
+    for n in (50, 400):
+        made, edge = lm.segments(texts(n), segment=20_000)
+        rows = made.collect()
+        assert len(rows) == len(edge) + 1
+        assert all(lm.Filter(np.frombuffer(r["bits"], np.uint8), 1.5).false_rate() < 0.02 for r in rows)
+        assert all(0 <= len(r["bits"]) * 8 - 12 * r["entries"] < 8 for r in rows)
+        sizes.append(len(rows))
+    assert sizes[1] > 4 * sizes[0]
+
+
+def test_scores_do_not_depend_on_segments(spark, odd):
+    key = ["n_tokens", "base_score"]
+    one, many = (lm.score(odd, segment=s).toPandas().sort_values(key) for s in (1 << 24, 3000))
+    assert many.base_score.to_numpy() == pytest.approx(one.base_score.to_numpy(), rel=1e-9)
+    assert (np.abs(many.score.to_numpy() - one.score.to_numpy()) / one.n_tokens.to_numpy()).mean() < 0.02
+
+
 # ---- personal data ----
 
 PATTERNS = {

@@ -2,9 +2,10 @@
 
 Counts of words and of word pairs over the training documents are quantised to levels on a logarithmic scale, and an
 n-gram of level q enters the filter q times, as (n-gram, 1) to (n-gram, q). A count is read back by asking for level 1,
-2, ... until one is missing. The filter is built in parts on the workers, put together on the driver and broadcast;
-its size follows the number of entries, ``bits`` for each, up to ``most_mb`` - past that, only its rate of false
-positives rises, by the usual formula (``Filter.false_rate``).
+2, ... until one is missing. The filter is held in segments, each with the n-grams of one range of hashes and with
+``bits`` for each of its entries: it grows with the corpus, and its rate of false positives (``Filter.false_rate``) stays.
+Segments are never gathered or broadcast: documents are cut into pieces, the distinct n-grams of a piece go to their
+segments, and the levels found there come back to the piece.
 
 The model's probability of a word w after h is (c(h, w) + mu * p(w)) / (c(h) + mu) with p(w) additively smoothed, all
 counts read from the filter, each at the middle of its level; c(h, w) counts as c(h) at most. The first word follows a
@@ -33,6 +34,8 @@ from .common import WORDS, Tables, held_out, lists, mix, text_bytes
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 PROBES = 3
 HOT = 1 << 16
+#: Bytes of training text for each segment of the filter; tokens of a piece of documents.
+SEGMENT, PIECE = 1 << 24, 500_000
 
 
 def pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -66,126 +69,222 @@ class Filter:
         at = self.places(keys, level, self.size)
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of n-grams, each read level by level until one is missing."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of n-grams, each asked for one by one until one is missing."""
         level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(live):
             live = live[self.has(keys[live], int(level[live[0]]) + 1)]
             level[live] += 1
             if len(live) and level[live[0]] >= len(self.middle) - 1:
                 break
-        return self.middle[level]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.middle[self.levels(keys)]
 
     def false_rate(self) -> float:
         full = int(np.bitwise_count(self.bits).sum(dtype=np.int64)) / max(1, int(self.size))
         return full**PROBES
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, hash, count) of words and pairs, summed over half a million at a time."""
-    ones, twos, held = [], [], 0
+def fill(keys: np.ndarray, c: np.ndarray, size: int, base: float) -> np.ndarray:
+    """The bits, ``size`` in number, of n-grams with their counts."""
+    floor, flags = levels(base), np.zeros(size, bool)
+    for at in range(0, len(keys), 200_000):
+        some = keys[at : at + 200_000]
+        q = np.searchsorted(floor, c[at : at + 200_000], side="right")
+        level = np.arange(1, q.sum() + 1) - np.repeat(np.cumsum(q) - q, q)
+        flags[Filter.places(np.repeat(some, q), level, np.uint64(size)).ravel()] = True
+    return np.packbits(flags, bitorder="little")
 
-    def emit():
-        parts = []
-        for n, got in ((1, ones), (2, twos)):
-            keys, times = np.unique(np.concatenate(got) if got else np.empty(0, np.uint64), return_counts=True)
-            parts.append((np.full(len(keys), n, np.int8), keys.view(np.int64), times))
-            got.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], ["n", "key", "c"])
 
-    for b in batches:
-        for t in b.column(0):
-            h = WORDS.of(t.as_py().lower().split())
-            all_ = np.concatenate([[START], h, [END]]).astype(np.uint64)
-            ones.append(all_[1:])
-            twos.append(pair(all_[:-1], all_[1:]))
-            held += len(all_)
-        if held > 500_000:
-            yield emit()
-            held = 0
-    yield emit()
+def build(entries: DataFrame, size: int, base: float) -> Filter:
+    """One filter of a small table (key, c)."""
+    rows = entries.select("key", "c").toPandas()
+    return Filter(fill(rows["key"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), size, base), base)
+
+
+def edges(segments: int) -> np.ndarray:
+    """Where the ranges of hashes of all segments but the first begin."""
+    return np.array([(i << 64) // segments for i in range(1, segments)], np.uint64)
+
+
+def planes(v: np.ndarray) -> bytes:
+    """32-bit values, their bytes by rank: high ones are mostly zero, and shuffles compress them away."""
+    return np.ascontiguousarray(v, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def values(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
 
+def within(keys: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """Sorted hashes by segment, as 32-bit places in the segment's range. A segment has a bounded number of n-grams, so two of them meet at one place as rarely in any corpus."""
+    shift = np.uint64(max(0, (((1 << 64) - 1) // (len(edge) + 1)).bit_length() - 32))
+    return [((k - low) >> shift).astype(np.uint32) for k, low in zip(np.split(keys, np.searchsorted(keys, edge)), np.append(np.uint64(0), edge), strict=True)]
 
-def _build(size: int, base: float, parts: int):
-    """The entries of each part of the filter, set in the bits of that part only."""
-    floor, span = levels(base), size // parts
+
+def packed(place: np.ndarray) -> bytes:
+    return planes(np.diff(place, prepend=np.uint32(0)))
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(values(b), dtype=np.uint32).astype(np.uint64)
+
+
+def _count(edge: np.ndarray):
+    """Words and pairs with their counts by segment, summed over a million tokens at a time. The start mark counts documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, place in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                bits = found.setdefault(part, np.zeros(span // 8, np.uint8))
-                at = np.frombuffer(place.as_py(), np.uint32)
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["part", "bits"])
+        ones, twos, held = [], [], 0
+
+        def emit():
+            (words, times), (pairs, often) = (np.unique(np.concatenate(got) if got else np.empty(0, np.uint64), return_counts=True) for got in (ones, twos))
+            ones.clear(), twos.clear()
+            at, by = np.searchsorted(words, edge), np.searchsorted(pairs, edge)
+            split = ([x.tobytes() for x in np.split(words, at)], [planes(x) for x in np.split(times, at)], [packed(x) for x in within(pairs, edge)], [planes(x) for x in np.split(often, by)])
+            cols = [pa.array(range(len(edge) + 1), pa.int32()), *(pa.array(x, pa.binary()) for x in split)]
+            return pa.RecordBatch.from_arrays(cols, ["seg", "words", "times", "pairs", "often"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
-            q = np.searchsorted(floor, c, side="right")
-            level = np.arange(1, q.sum() + 1) - np.repeat(np.cumsum(q) - q, q)
-            at = np.unique(Filter.places(np.repeat(keys, q), level, np.uint64(size)))
-            cut = np.searchsorted(at, np.arange(1, parts, dtype=np.uint64) * np.uint64(span))
-            some = [(i, (x - np.uint64(i * span)).astype(np.uint32).tobytes()) for i, x in enumerate(np.split(at, cut)) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["part", "places"])
+            for t in b.column(0):
+                all_ = np.concatenate([[START], WORDS.of(t.as_py().lower().split()), [END]]).astype(np.uint64)
+                ones.append(all_)
+                twos.append(pair(all_[:-1], all_[1:]))
+                held += len(all_)
+                if held > 1_000_000:
+                    yield emit()
+                    held = 0
+        if held:
+            yield emit()
+
+    return run
 
-    return place, run
 
+def _joined(column: pa.ChunkedArray, read, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(read(x.as_py()) for x in column)])
 
-def build(entries: DataFrame, size: int, base: float) -> Filter:
-    """The filter of ``entries`` (key, c); ``size`` bits, a multiple of 2 ** 20."""
-    parts = size >> 20 if size < 1 << 26 else 64
-    place, run = _build(size, base, parts)
-    placed = entries.select("key", "c").mapInArrow(place, "part int, places binary")
-    made = placed.repartition(parts, "part").mapInArrow(run, "part int, bits binary")
-    bits = np.zeros(size // 8, np.uint8)
-    for r in made.toLocalIterator():  # ``size`` bits in all
-        bits[r["part"] * (size // parts // 8) :][: size // parts // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, base)
-
-
-def _score(sent, hot, total: int, distinct: int, mu: float):
-    """A row for each document: tokens, known and log score of frequent ones, the model's score, and hashes and counts of rarer words."""
-    scale = total + 0.1 * (distinct + 1)
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(times[order].astype(np.int64), first) if len(keys) else np.empty(0, np.int64)
+
+
+def _segment(edge: np.ndarray, base: float, bits: int, least: int):
+    """A segment from its counts: its part of the filter, and its words with exact counts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        seg = t["seg"][0].as_py()
+        words, times = _summed(_joined(t["words"], lambda x: np.frombuffer(x, np.uint64), np.uint64), _joined(t["times"], values, np.uint32))
+        pairs, often = _summed(_joined(t["pairs"], unpacked, np.uint64), _joined(t["often"], values, np.uint32))
+        keys, c = np.append(within(words, edge)[seg].astype(np.uint64), pairs[often >= least]), np.append(times, often[often >= least])
+        entries = int(np.searchsorted(levels(base), c, side="right").sum())
+        real = words != START
+        return pa.table({
+            "seg": pa.array([seg], pa.int32()), "entries": pa.array([entries], pa.int64()), "bits": pa.array([fill(keys, c, max(1, -(-entries * bits // 8)) * 8, base).tobytes()], pa.binary()),
+            "words": lists([words[real].view(np.int64)], pa.int64()), "times": lists([times[real]], pa.int64()),
+        })
+
+    return run
+
+
+SEGMENTS = "seg int, entries bigint, bits binary, words array<bigint>, times array<bigint>"
+
+
+def segments(train: DataFrame, *, segment: int = SEGMENT, least: int = 2, base: float = 1.5, bits: int = 12) -> tuple[DataFrame, np.ndarray]:
+    """The filter of training documents (__bytes), a row a segment, and where segments begin."""
+    size = train.agg(F.sum(F.octet_length("__bytes"))).first()[0] or 0
+    edge = edges(max(1, math.ceil(size / segment)))
+    counted = train.select("__bytes").mapInArrow(_count(edge), "seg int, words binary, times binary, pairs binary, often binary")
+    return counted.groupBy("seg").applyInArrow(_segment(edge, base, bits, least), SEGMENTS), edge
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, PIECE tokens a row: their ids and sizes, the distinct words, and the place of each token among these."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            docs, held = [], 0
+            while at < b.num_rows and held < PIECE:
+                docs.append(np.append(WORDS.of(b.column("__bytes")[at].as_py().lower().split()), END))
+                held += len(docs[-1])
+                at += 1
+            ids = b.column("doc_id").slice(at - len(docs), len(docs))
+            words, token = np.unique(np.append(np.concatenate(docs), START), return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), lists([np.array([len(d) for d in docs])], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([token[:-1].astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()], pa.binary())],
+                ["ids", "sizes", "words", "tokens"],
+            )
+
+
+def _unpacked(words: bytes, tokens: bytes, sizes: np.ndarray):
+    """Words of a piece, places of its tokens and of what stands before each, and its distinct pairs with each token's place among these."""
+    words = np.frombuffer(words, np.uint64)
+    token = np.frombuffer(tokens, np.uint16 if len(words) <= 1 << 16 else np.uint32).astype(np.int64)
+    before = np.roll(token, 1)
+    before[np.cumsum(sizes) - sizes] = np.searchsorted(words, START)
+    pairs, which = np.unique(pair(words[before], words[token]), return_inverse=True)
+    return words, token, before, pairs, which
+
+
+def _ask(edge: np.ndarray):
+    """The distinct n-grams of pieces, each sent to its segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (keys, times) = sent.value, hot.value
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                docs, ids, held = [], [], 0
-                while at < b.num_rows and held < 200_000:
-                    h = WORDS.of(b.column("__bytes")[at].as_py().lower().split())
-                    docs.append(np.append(h, END))
-                    held += len(docs[-1])
-                    at += 1
-                ids = b.column("doc_id").slice(at - len(docs), len(docs))
-                sizes = np.array([len(d) for d in docs])
-                token = np.concatenate(docs)
-                owner = np.repeat(np.arange(len(docs)), sizes)
-                history = np.roll(token, 1)
-                history[np.cumsum(sizes) - sizes] = START
-
-                # the model: counts of distinct words and pairs, by probes
-                words, word = np.unique(np.append(token, START), return_inverse=True)
-                count = model.counts(words)
-                single = (count + 0.1) / scale
-                pairs, which = np.unique(pair(history, token), return_inverse=True)
-                joint = model.counts(pairs)[which]
-                before = count[np.searchsorted(words, history)]
-                own = single[word[:-1]]
-                p = (np.minimum(joint, before) + mu * own) / (before + mu)
-                score = np.bincount(owner, weights=np.log10(p), minlength=len(docs))
-
-                # the base: exact counts of frequent words here, rarer ones passed on
-                place = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
-                known = keys[place] == token if len(keys) else np.zeros(len(token), bool)
-                base = np.bincount(owner[known], weights=np.log10((times[place[known]] + 0.1) / scale), minlength=len(docs)) if known.any() else np.zeros(len(docs))
-                rare = [np.unique(d[~k], return_counts=True) for d, k in zip(docs, np.split(known, np.cumsum(sizes)[:-1]), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes, pa.int64()), pa.array(np.bincount(owner[known], minlength=len(docs)), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists([k.view(np.int64) for k, _ in rare], pa.int64()), lists([n for _, n in rare], pa.int32())],
-                    ["doc_id", "n_tokens", "hot_known", "hot_base", "score", "rare", "times"],
-                )
+            for piece, words, tokens, sizes in zip(*(b.column(c) for c in ("piece", "words", "tokens", "sizes")), strict=True):
+                words, _, _, pairs, _ = _unpacked(words.as_py(), tokens.as_py(), sizes.values.to_numpy())
+                cut, n = [within(k, edge) for k in (words, pairs)], len(edge) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array([packed(x) for x in c], pa.binary()) for c in cut)], ["piece", "seg", "words", "pairs"])
+
+    return run
+
+
+def _probe(base: float):
+    """Levels of the n-grams that pieces ask of a segment; of a segment without entries all are 0."""
+
+    def run(made: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        for c in ("words", "pairs"):
+            keys = _joined(asked[c], unpacked, np.uint64)
+            level = Filter(np.frombuffer(made["bits"][0].as_py(), np.uint8), base).levels(keys) if made.num_rows else np.zeros(len(keys), np.int64)
+            ends = np.cumsum([len(x.as_py()) // 4 for x in asked[c]])[:-1] if asked.num_rows else []
+            found.append(pa.array([x.tobytes() for x in np.split(level.astype(np.uint8), ends)][: asked.num_rows], pa.binary()))
+        return pa.table({"piece": asked["piece"], "seg": asked["seg"], "words": found[0], "pairs": found[1]})
+
+    return run
+
+
+def _score(hot, total: int, distinct: int, mu: float, base: float):
+    """A row for each document: tokens, known and log score of frequent ones, the model's score, and hashes and counts of rarer words."""
+    scale, middle = total + 0.1 * (distinct + 1), Filter(np.zeros(1, np.uint8), base).middle
+
+    def run(piece: pa.Table, found: pa.Table) -> pa.Table:
+        keys, times = hot.value
+        ids, sizes = piece["ids"].combine_chunks().flatten(), piece["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        words, place, before, _, which = _unpacked(piece["words"][0].as_py(), piece["tokens"][0].as_py(), sizes)
+        token, n = words[place], len(sizes)
+        owner = np.repeat(np.arange(n), sizes)
+
+        # the model: counts of distinct words and pairs, as their segments found them
+        found = found.sort_by("seg")
+        count, joint = (middle[_joined(found[c], lambda x: np.frombuffer(x, np.uint8), np.uint8)] for c in ("words", "pairs"))
+        own, before = (count[place] + 0.1) / scale, count[before]
+        p = (np.minimum(joint[which], before) + mu * own) / (before + mu)
+        score = np.bincount(owner, weights=np.log10(p), minlength=n)
+
+        # the base: exact counts of frequent words here, rarer ones passed on
+        at = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
+        known = keys[at] == token if len(keys) else np.zeros(len(token), bool)
+        base = np.bincount(owner[known], weights=np.log10((times[at[known]] + 0.1) / scale), minlength=n) if known.any() else np.zeros(n)
+        ends = np.cumsum(sizes)[:-1]
+        rare = [np.unique(d[~k], return_counts=True) for d, k in zip(np.split(token, ends), np.split(known, ends), strict=True)]
+        return pa.table(
+            [ids, pa.array(sizes, pa.int64()), pa.array(np.bincount(owner[known], minlength=n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists([k.view(np.int64) for k, _ in rare], pa.int64()), lists([c for _, c in rare], pa.int32())],
+            ["doc_id", "n_tokens", "hot_known", "hot_base", "score", "rare", "times"],
+        )
 
     return run
 
@@ -193,32 +292,25 @@ def _score(sent, hot, total: int, distinct: int, mu: float):
 SCORED = "doc_id bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, rare array<bigint>, times array<int>"
 
 
-def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 300.0, base: float = 1.5, bits: int = 12, most_mb: int = 256) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 300.0, base: float = 1.5, bits: int = 12, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("__bytes"))
-    counted = docs.filter(~held_out(F.col("doc_id"), folds)).select("__bytes").mapInArrow(_count, "n tinyint, key bigint, c bigint")
-    counts = tables.keep(counted.groupBy("n", "key").agg(F.sum("c").alias("c")).filter(f"n = 1 or c >= {least}"), "counts")
-    words = counts.filter("n = 1").select("key", "c")
-    starts = docs.filter(~held_out(F.col("doc_id"), folds)).count()
+    made, edge = segments(docs.filter(~held_out(F.col("doc_id"), folds)), segment=segment, least=least, base=base, bits=bits)
+    made = tables.keep(made, "segments")
+    words = made.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("c"))
     total, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-
-    entries = counts.select("key", "c")
-    if starts:
-        entries = entries.union(spark.createDataFrame([(int(START), starts)], "key bigint, c bigint"))
-    weight = F.ceil(F.log(base, F.col("c")) + 1)
-    needed = (entries.agg(F.sum(weight)).first()[0] or 1) * bits
-    size = min(max(1, math.ceil(needed / (1 << 20))), most_mb * 8) << 20
-    if size >= 1 << 26:  # 64 equal parts
-        size = min(math.ceil(size / (1 << 26)) << 26, most_mb << 23)
-    sent = spark.sparkContext.broadcast(build(entries, size, base))
     top = words.orderBy(F.col("c").desc(), "key").limit(HOT).toPandas()  # HOT rows at most
     order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
     hot = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.float64)[order]))
 
-    scored = tables.keep(docs.mapInArrow(_score(sent, hot, total, distinct, mu), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    pieces = tables.keep(docs.mapInArrow(_pieces, "ids array<bigint>, sizes array<int>, words binary, tokens binary").withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    asked = pieces.mapInArrow(_ask(edge), "piece bigint, seg int, words binary, pairs binary")
+    found = made.select("seg", "bits").groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(_probe(base), "piece bigint, seg int, words binary, pairs binary")
+    each = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(_score(hot, total, distinct, mu, base), SCORED)
+    scored = tables.keep(each.withColumn("row", F.monotonically_increasing_id()), "scored")
     scale = float(total + 0.1 * (distinct + 1))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / scale) * F.col("times")
