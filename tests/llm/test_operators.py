@@ -265,6 +265,24 @@ def test_scores_do_not_depend_on_segments(spark, odd):
     assert (np.abs(many.score.to_numpy() - one.score.to_numpy()) / one.n_tokens.to_numpy()).mean() < 0.02
 
 
+def test_lm_learns_pairs_seen_once(spark):
+    docs = [(i, " ".join(words(i, 40))) for i in range(60)]
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    split = {i: ["<", *t.split(), ">"] for i, t in docs}
+    train = [w for i, w in split.items() if zlib.crc32(str(i).encode()) % 10]
+    ones, twos = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(w, w[1:], strict=False))
+    assert sum(c == 1 for c in twos.values()) > 0.9 * len(twos)
+    total, distinct = sum(ones.values()) - len(train), len(ones) - 1
+    floor, middle = lm.levels(1.5), lm.Filter(np.zeros(1, np.uint8), 1.5).middle
+    read = lambda c: float(middle[np.searchsorted(floor, c, side="right")])
+    for i, w in split.items():
+        want = 0.0
+        for h, x in zip(w, w[1:], strict=False):
+            own, before = (read(ones[x]) + 0.1) / (total + 0.1 * (distinct + 1)), read(ones[h])
+            want += math.log10((min(read(twos[h, x]), before) + 300 * own) / (before + 300))
+        assert got[i]["score"] / (len(w) - 1) == pytest.approx(want / (len(w) - 1), abs=0.03)
+
+
 # ---- personal data ----
 
 PATTERNS = {

@@ -9,7 +9,7 @@ segments, and the levels found there come back to the piece.
 
 The model's probability of a word w after h is (c(h, w) + mu * p(w)) / (c(h) + mu) with p(w) additively smoothed, all
 counts read from the filter, each at the middle of its level; c(h, w) counts as c(h) at most. The first word follows a
-start mark. Pairs enter the filter from ``least`` occurrences on, a cutoff as usual for such models.
+start mark. Pairs enter the filter from ``least`` occurrences on: all of them, unless a caller asks for a cutoff.
 
 The base score uses exact counts. The most frequent words, a bounded number, are broadcast with theirs; rarer words are
 summed by document and joined by hash, so no word's rows meet in one task and no table of words is broadcast whole.
@@ -193,7 +193,7 @@ def _segment(edge: np.ndarray, base: float, bits: int, least: int):
 SEGMENTS = "seg int, entries bigint, bits binary, words array<bigint>, times array<bigint>"
 
 
-def segments(train: DataFrame, *, segment: int = SEGMENT, least: int = 2, base: float = 1.5, bits: int = 12) -> tuple[DataFrame, np.ndarray]:
+def segments(train: DataFrame, *, segment: int = SEGMENT, least: int = 1, base: float = 1.5, bits: int = 12) -> tuple[DataFrame, np.ndarray]:
     """The filter of training documents (__bytes), a row a segment, and where segments begin."""
     size = train.agg(F.sum(F.octet_length("__bytes"))).first()[0] or 0
     edge = edges(max(1, math.ceil(size / segment)))
@@ -292,7 +292,7 @@ def _score(hot, total: int, distinct: int, mu: float, base: float):
 SCORED = "doc_id bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, rare array<bigint>, times array<int>"
 
 
-def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 300.0, base: float = 1.5, bits: int = 12, segment: int = SEGMENT) -> DataFrame:
+def score(docs: DataFrame, *, folds: int = 10, least: int = 1, mu: float = 300.0, base: float = 1.5, bits: int = 12, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tables = Tables(spark, "lm")
@@ -311,6 +311,7 @@ def score(docs: DataFrame, *, folds: int = 10, least: int = 2, mu: float = 300.0
     found = made.select("seg", "bits").groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(_probe(base), "piece bigint, seg int, words binary, pairs binary")
     each = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(_score(hot, total, distinct, mu, base), SCORED)
     scored = tables.keep(each.withColumn("row", F.monotonically_increasing_id()), "scored")
+    tables.drop(pieces)
     scale = float(total + 0.1 * (distinct + 1))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / scale) * F.col("times")
