@@ -7,6 +7,9 @@ from tidewire.functions import text as T
 from tidewire.operators import classify as C
 from tidewire.operators import dedup as D
 from tidewire.operators import ranking as R
+from tidewire.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def verdict(spark, title, summary=None):
@@ -119,3 +122,10 @@ def test_business_day_edges(spark):
 def test_recency_bounds(spark):
     df = spark.sql("select timestamp'2026-09-20 12:00:00' n, timestamp'2026-09-20 01:00:00' a, timestamp'2026-09-18 01:00:00' b, cast(null as timestamp) c")
     assert list(df.select(*(R.recency(F.col(c), F.col("n")) for c in "abc")).first()) == [0.5, 0.0, 0.0]
+
+
+def test_window_pairs_of_all_events(spark):
+    ts = sorted((t.value // 1000, i) for t, i in spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_id").toPandas().itertuples(index=False))
+    gaps = [b[0] - a[0] for i, b in enumerate(ts) for a in ts[:i] if b[0] - a[0] <= 172_800_000_000]
+    got = catalogue.queries()["q_window_pairs_48h_all"](spark, SF).first()
+    assert got["pairs"] == len(gaps) and got["hours"] == pytest.approx(sum(gaps) / 3.6e9, rel=1e-9)

@@ -336,6 +336,13 @@ def q_window_pairs_48h(spark, sf_dir):
     return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum("hours"), 3).alias("hours"))
 
 
+@query()
+def q_window_pairs_48h_all(spark, sf_dir):
+    """Over all events; the query above has, with its SQL, a subset of them."""
+    pairs = J.window_pairs(table(spark, sf_dir, "events"), "ts", "event_id", 48, salts=16)
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum("hours"), 3).alias("hours"))
+
+
 @query("""SELECT user_id, max_by(event_id, (epoch_us(ts), event_id)) AS event_id FROM events GROUP BY 1""")
 def q_latest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
