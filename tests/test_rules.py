@@ -1,5 +1,9 @@
 """Decision lists and ladders on literal inputs."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +133,16 @@ def test_window_pairs_of_all_events(spark):
     gaps = [b[0] - a[0] for i, b in enumerate(ts) for a in ts[:i] if b[0] - a[0] <= 172_800_000_000]
     got = catalogue.queries()["q_window_pairs_48h_all"](spark, SF).first()
     assert got["pairs"] == len(gaps) and got["hours"] == pytest.approx(sum(gaps) / 3.6e9, rel=1e-9)
+
+
+def test_tfidf_pairs_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    bags = {i: Counter(re.findall("[a-z0-9_]{2,}", (x or "").lower())) for i, x in docs.itertuples(index=False)}
+    df = Counter(w for b in bags.values() for w in b)
+    n, unit = len(docs), {}
+    for i, b in bags.items():
+        v = {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in b.items() if df[w] <= 0.9 * n}
+        unit[i] = {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    sims = {(a, b): sum(x * unit[b].get(w, 0) for w, x in unit[a].items()) for a in unit for b in unit if a < b}
+    got = {(r["a"], r["b"]) for r in catalogue.queries()["q_tfidf_pairs_documents"](spark, SF).collect()}
+    assert got and {k for k, s in sims.items() if s > 0.350001} <= got <= {k for k, s in sims.items() if s > 0.349999}

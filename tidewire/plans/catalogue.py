@@ -213,6 +213,12 @@ def q_tfidf_pairs(spark, sf_dir):
     return D.similar(D.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text"), 0.1)
 
 
+@query()
+def q_tfidf_pairs_documents(spark, sf_dir):
+    """Over all documents; the query above has, with its SQL, the benchmark."""
+    return D.similar(D.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text"), D.CORROBORATED_TFIDF)
+
+
 @query("""WITH q AS (SELECT vec_id AS q, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS c, round(list_sum(list_transform(list_zip(qv, embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS similarity FROM q, embeddings WHERE vec_id < q)
  SELECT q, c, similarity, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) AS rn FROM s WHERE similarity >= 0.1) WHERE rn <= 10""")
 def q_cosine_topk(spark, sf_dir):
