@@ -146,3 +146,10 @@ def test_tfidf_pairs_of_documents(spark):
     sims = {(a, b): sum(x * unit[b].get(w, 0) for w, x in unit[a].items()) for a in unit for b in unit if a < b}
     got = {(r["a"], r["b"]) for r in catalogue.queries()["q_tfidf_pairs_documents"](spark, SF).collect()}
     assert got and {k for k, s in sims.items() if s > 0.350001} <= got <= {k for k, s in sims.items() if s > 0.349999}
+
+
+def test_overlaps_of_documents_and_benchmark(spark):
+    bags = [{i: set(re.findall("[a-z0-9]+", (x or "").lower())) for i, x in spark.read.parquet(f"{SF}/{n}.parquet").select(k, "text").collect()} for n, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    want = {(a, b) for a, x in bags[0].items() for b, y in bags[1].items() if x and y and round(len(x & y) / min(len(x), len(y)), 6) >= 0.8}
+    got = [(r["a"], r["b"]) for r in catalogue.queries()["q_overlap_coverage_documents"](spark, SF).collect()]
+    assert want and len(got) == len(want) and set(got) == want

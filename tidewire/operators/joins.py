@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import text as T
+
 
 def window_pairs(rows: DataFrame, ts: str, key: str, hours: int, carry: tuple[str, ...] = (), salts: int = 1, on: Column | None = None) -> DataFrame:
     """Pairs (earlier, later) at most ``hours`` apart, ordered by (ts, key); rows without a time pair with nothing.
@@ -45,6 +47,22 @@ def tokens_in_common(rows: DataFrame, key: str, tokens: str, least: float) -> Da
     return full.select("a", "b", sim.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+def overlaps(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, overlap, coverage) of rows (id, t) of two tables whose token sets overlap by ``least`` or more of the smaller.
+
+    The smaller set of such a pair has one of its rarest tokens in common with the other, so pairs meet by those of one side only, never by a word that most rows hold.
+    """
+    sides = [d.filter(F.size("t") > 0).select("id", F.size("t").alias("n"), "t") for d in (left, right)]
+    each = [d.select("id", "n", F.explode("t").alias("token")) for d in sides]
+    often = each[0].select("token").unionAll(each[1].select("token")).groupBy("token").agg(F.count("*").alias("df"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    rare = [d.join(often, "token").withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("id", "n", "token") for d in each]
+    a, b = (lambda d: d.select(F.col("id").alias("a"), F.col("n").alias("na"), "token")), (lambda d: d.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token"))
+    met = a(rare[0]).join(b(each[1]), "token").filter("na <= nb").select("a", "b").unionAll(a(each[0]).join(b(rare[1]), "token").filter("nb <= na").select("a", "b")).distinct()
+    full = met.join(sides[0].select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sides[1].select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    return full.select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"), F.round(T.coverage(F.col("x"), F.col("y")), 6).alias("coverage")).filter(F.col("overlap") >= least)
+
+
 def merge(current: DataFrame, incoming: DataFrame, keys: list[str], touch: dict[str, Column]) -> DataFrame:
     """The table after an upsert: rows known by ``keys`` only get the columns of ``touch`` (over c and i), others are added. Of rows that arrive twice, the last by all columns counts."""
     latest = incoming.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in incoming.columns if c not in keys)))).filter("__r = 1").drop("__r")

@@ -485,6 +485,13 @@ def q_overlap_coverage(spark, sf_dir):
     return a.join(b, "bucket").filter("a < b").select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"), F.round(T.coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
 
 
+@query()
+def q_overlap_coverage_documents(spark, sf_dir):
+    """Documents with items of benchmark whose overlap is 0.8 or more, over both whole tables; the query above has, with its SQL, a tenth of the pairs of benchmark."""
+    sets = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    return J.overlaps(sets("documents", "doc_id"), sets("benchmark", "item_id"), 0.8)
+
+
 # ---- storyboard, checks, store ----
 
 
