@@ -153,3 +153,14 @@ def test_overlaps_of_documents_and_benchmark(spark):
     want = {(a, b) for a, x in bags[0].items() for b, y in bags[1].items() if x and y and round(len(x & y) / min(len(x), len(y)), 6) >= 0.8}
     got = [(r["a"], r["b"]) for r in catalogue.queries()["q_overlap_coverage_documents"](spark, SF).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_cosine_topk_asks_all(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    want = {}
+    for q in rows:
+        if q["vec_id"] % 20 == 0:
+            sims = [(-round(math.fsum(x * y for x, y in zip(q["embedding"], c["embedding"], strict=True)), 6), c["vec_id"]) for c in rows if c["vec_id"] != q["vec_id"]]
+            want |= {(q["vec_id"], n + 1): -s for n, (s, _) in enumerate(sorted(x for x in sims if x[0] <= -0.1)[:10])}
+    got = {(r["q"], r["rank"]): r["similarity"] for r in catalogue.queries()["q_cosine_topk_all"](spark, SF).collect()}
+    assert want and got == pytest.approx(want, abs=2e-6)

@@ -227,6 +227,14 @@ def q_cosine_topk(spark, sf_dir):
     return D.nearest(asked, rows.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), floor=0.1, k=10, visible=F.col("c") < F.col("q"))
 
 
+@query()
+def q_cosine_topk_all(spark, sf_dir):
+    """Rows whose id is divisible by 20, against all others; the query above has, with its SQL, fewer of both."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    return D.nearest(asked, rows.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), floor=0.1, k=10, visible=F.col("c") != F.col("q"))
+
+
 @query()
 def q_history_asof(spark, sf_dir):
     rows = news(spark, sf_dir).filter("source_type = 'rss'")
