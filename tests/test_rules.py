@@ -164,3 +164,12 @@ def test_cosine_topk_asks_all(spark):
             want |= {(q["vec_id"], n + 1): -s for n, (s, _) in enumerate(sorted(x for x in sims if x[0] <= -0.1)[:10])}
     got = {(r["q"], r["rank"]): r["similarity"] for r in catalogue.queries()["q_cosine_topk_all"](spark, SF).collect()}
     assert want and got == pytest.approx(want, abs=2e-6)
+
+
+def test_whole_texts_and_all_documents(spark, tmp_path):
+    docs = [(i, f"A plain headline\n{'word ' * 800}{end}", lang, "src1") for i, (end, lang) in enumerate([("The company trains a large language model.", "de"), ("Nothing else.", "en")])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "word word word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["id"]: r["ai"] for r in catalogue.queries()["q_rules_classifier"](spark, str(tmp_path)).collect()}
+    assert got[0] != got[1]
+    assert {r["q"] for r in catalogue.queries()["q_history_asof"](spark, str(tmp_path)).collect()} == {0, 1}

@@ -237,7 +237,7 @@ def q_cosine_topk_all(spark, sf_dir):
 
 @query()
 def q_history_asof(spark, sf_dir):
-    rows = news(spark, sf_dir).filter("source_type = 'rss'")
+    rows = news(spark, sf_dir)
     corpus = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("c"), D.embed("text").alias("cv"), F.date_add(F.lit("2026-09-18").cast("date"), (F.col("item_id") % 5).cast("int")).alias("corpus_date"))
     asked = rows.select(F.col("id").alias("q"), D.embed(F.substring("raw_content", 1, 1500)).alias("qv"), "collection_date")
     return D.nearest(asked, corpus, floor=0.3, k=10, visible=F.col("corpus_date") < F.col("collection_date"))
@@ -290,7 +290,7 @@ def q_keyword_relevance(spark, sf_dir):
 
 @query()
 def q_rules_classifier(spark, sf_dir):
-    return news(spark, sf_dir).select("id", C.relevance_rules(F.col("title"), F.substring("raw_content", 1, 2000)).alias("r")).select("id", "r.*")
+    return news(spark, sf_dir).select("id", C.relevance_rules(F.col("title"), F.col("raw_content")).alias("r")).select("id", "r.*")
 
 
 _FACT_EVENTS = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(_hit('low', w) for w in ws)} THEN '{n}' END" for n, ws in sorted(EVENT_WORDS.items())) + "], lambda x: x IS NOT NULL)"
