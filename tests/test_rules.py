@@ -170,6 +170,18 @@ def test_whole_texts_and_all_documents(spark, tmp_path):
     docs = [(i, f"A plain headline\n{'word ' * 800}{end}", lang, "src1") for i, (end, lang) in enumerate([("The company trains a large language model.", "de"), ("Nothing else.", "en")])]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "word word word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r["id"]: r["ai"] for r in catalogue.queries()["q_rules_classifier"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["ai_relatedness"] for r in catalogue.queries()["q_rules_classifier"](spark, str(tmp_path)).collect()}
     assert got[0] != got[1]
     assert {r["q"] for r in catalogue.queries()["q_history_asof"](spark, str(tmp_path)).collect()} == {0, 1}
+
+
+def test_day_stories_meet_by_content_and_titles_by_sequence(spark, tmp_path):
+    body = " ".join(f"term{i}" for i in range(80))
+    titles = {0: "Quiet harbour", 1: "Completely different heading", 2: "abcdefgh ijklmnop", 3: "abcdefgx ijklmnoy", 4: "Quiet harbour"}
+    texts = {i: f"{t}\n{body if i < 2 else ' '.join(f'other{i}x{k}' for k in range(80))}" for i, t in titles.items()} | {4: f"Quiet harbour\n{body}"}
+    spark.createDataFrame([(i, x, "en", f"src{i}") for i, x in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["e_id"], r["l_id"]): r for r in catalogue._verdicts(spark, str(tmp_path)).collect()}
+    assert set(got) == {(0, 1), (0, 4), (1, 4)} and 0.7 <= got[0, 1]["semantic"] < 1
+    assert got[0, 4]["v"]["rule"] == "identical_source"
+    walked = {r["id"]: r["canonical"] for r in catalogue.queries()["q_title_clusters"](spark, str(tmp_path)).collect()}
+    assert walked[3] == 2

@@ -198,7 +198,7 @@ def q_title_seq_pairs(spark, sf_dir):
 @query()
 def q_title_clusters(spark, sf_dir):
     rows = news(spark, sf_dir).withColumn("pinned", F.lit(False))
-    pairs = D.title_matches(rows, companies=(), sequence=None)
+    pairs = D.title_matches(rows, companies=())
     days = rows.select("id", "collection_date")
     one_day = pairs.join(days.select(F.col("id").alias("e_id"), F.col("collection_date").alias("d1")), "e_id").join(days.select(F.col("id").alias("l_id"), F.col("collection_date").alias("d2")), "l_id").filter("d1 = d2")
     return D.walk(rows, one_day, "collection_date")
@@ -250,18 +250,26 @@ def _pair_features(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(n, F.col("l_id") == F.col("n_id")).join(o, F.col("e_id") == F.col("o_id"))
 
 
+def _day_pairs(rows: DataFrame) -> DataFrame:
+    """(e_id, l_id, semantic, title_sim) of all pairs of a day's stories that are related in content or have one source."""
+    vectors = rows.select("collection_date", "id", "published_at", "content_hash", D.embed(F.substring("raw_content", 1, 1500)).alias("body"), D.embed("title").alias("head"))
+    e, l = (vectors.select("collection_date", *(F.col(c).alias(f"{p}_{c}") for c in vectors.columns[1:])) for p in ("e", "l"))  # noqa: E741
+    pairs = e.join(l, "collection_date").filter(F.struct("e_published_at", "e_id") < F.struct("l_published_at", "l_id"))
+    pairs = pairs.withColumn("semantic", F.round(T.dot(F.col("e_body"), F.col("l_body")), 6)).filter((F.col("semantic") >= D.RELATED) | (F.col("e_content_hash") == F.col("l_content_hash")))
+    return pairs.select("e_id", "l_id", "semantic", F.round(T.dot(F.col("e_head"), F.col("l_head")), 6).alias("title_sim"))
+
+
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = news(spark, sf_dir)
-    pairs = D.title_matches(rows, companies=(), sequence=None)
-    f = _pair_features(pairs, rows)
+    f = _pair_features(_day_pairs(rows), rows)
     parts = {
-        "same_source": F.col("n_content_hash") == F.col("o_content_hash"), "sim": F.greatest(F.col("jac"), F.lit(0.7)), "title_sim": F.col("jac"),
+        "same_source": F.col("n_content_hash") == F.col("o_content_hash"), "sim": F.col("semantic"), "title_sim": F.col("title_sim"),
         "subject": F.when(F.arrays_overlap("n_stems", "o_stems"), "shared").otherwise("unknown"), "new": F.col("n_types"), "old": F.col("o_types"), "covered": F.col("o_types.types"),
         "numbers": F.size(F.array_except("n_numbers", "o_numbers")), "title_entities": F.lit(0), "material": F.size(F.array_except("n_numbers", "o_numbers")) > 0,
         "lead_novelty": F.lit(1.0) - T.coverage(F.col("n_stems"), F.col("o_stems")), "title_only": F.col("n_words") < 20, "first_person": F.col("n_low").rlike(D.FIRST_PERSON),
         "explains": F.col("n_low").rlike(D.EXPLAINER), "old_explains": F.col("o_low").rlike(D.EXPLAINER),
     }
-    return f.select("e_id", "l_id", F.col("jac").alias("semantic"), D.decide(parts).alias("v"), "n_words")
+    return f.select("e_id", "l_id", "semantic", D.decide(parts).alias("v"), "n_words")
 
 
 @query()
@@ -272,9 +280,7 @@ def q_decide_ladder(spark, sf_dir):
 @query()
 def q_same_day_walk(spark, sf_dir):
     rows = news(spark, sf_dir)
-    days = rows.select("id", "collection_date")
     verdicts = _verdicts(spark, sf_dir).filter("v.decision = 'duplicate'").select("e_id", "l_id", "semantic")
-    verdicts = verdicts.join(days.select(F.col("id").alias("e_id"), F.col("collection_date").alias("d1")), "e_id").join(days.select(F.col("id").alias("l_id"), F.col("collection_date").alias("d2")), "l_id").filter("d1 = d2")
     given = rows.select("collection_date", "id", "published_at", F.lit(False).alias("pinned"), F.size(F.split("raw_content", "\\s+")).alias("words"), C.credibility(F.col("source_name"), CREDIBLE, {}).alias("score"))
     return D.elect(given, verdicts, "collection_date")
 
