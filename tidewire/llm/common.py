@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,18 +15,27 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six characters.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
+#: Spark's own switch: a query's shuffle files are removed when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+#: Folders of local sessions that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; one of our own only where the session names none."""
+    """The folder all executors and the driver share, as the session names it. Only in a local session that names none, where
+    driver and executors are one process, a folder of our own; elsewhere that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidewire-")
+        _own[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
@@ -36,9 +46,18 @@ class Tables:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/tidewire/{tag}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` from a table of its own. The shuffle files of the write are of no further use and go with its end."""
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEAN)
+            else:
+                self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -64,7 +83,7 @@ def text_bytes(text: Column) -> Column:
 class WordHash(dict):
     """64-bit hashes of words, kept for those met lately. Long words are hashed each time, so memory has a bound."""
 
-    LIMIT, LONGEST = 300_000, 48
+    LIMIT, LONGEST = 120_000, 48
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)

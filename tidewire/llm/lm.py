@@ -4,18 +4,21 @@ Counts of words and of word pairs over the training documents are quantised to l
 n-gram of level q enters the filter q times, as (n-gram, 1) to (n-gram, q). A count is read back by asking for level 1,
 2, ... until one is missing. The filter is held in segments, each with the n-grams of one range of hashes and with
 ``bits`` for each of its entries: it grows with the corpus, and its rate of false positives (``Filter.false_rate``) stays.
-Segments are never gathered or broadcast: documents are cut into pieces, the distinct n-grams of a piece go to their
-segments, and the levels found there come back to the piece.
+
+Nothing is gathered or broadcast. Documents are cut into pieces of about ``PIECE`` tokens. The distinct n-grams of a piece
+go to their segments once, with their counts in the piece's training documents; a segment sums them up, builds its part
+of the filter, probes it for every n-gram that was asked, and answers each piece with levels, and for words with exact
+counts. Answers meet the pieces again, and each document is scored from them. A segment has a bounded number of n-grams in
+any corpus, as the number of segments grows with it.
 
 The model's probability of a word w after h is (c(h, w) + mu * p(w)) / (c(h) + mu) with p(w) additively smoothed, all
 counts read from the filter, each at the middle of its level; c(h, w) counts as c(h) at most. The first word follows a
-start mark. Pairs enter the filter from ``least`` occurrences on: all of them, unless a caller asks for a cutoff.
-
-The base score uses exact counts. The most frequent words, a bounded number, are broadcast with theirs; rarer words are
-summed by document and joined by hash, so no word's rows meet in one task and no table of words is broadcast whole.
+start mark. Pairs enter the filter from ``least`` occurrences on: all of them, unless a caller asks for a cutoff. The base
+score uses exact counts.
 
 Defined results: a null text is empty: one token, the end mark. A row without doc_id is scored and never learned from.
 Rows that repeat are counted and scored each. With no training documents no token is known; each counts as 0.1 of 0.1.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -25,17 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, Tables, held_out, lists, mix, text_bytes
+from .common import WORDS, Tables, held_out, mix, text_bytes
 
 #: Hashes of the marks, outside of what words hash to in practice.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 PROBES = 3
-HOT = 1 << 16
-#: Bytes of training text for each segment of the filter; tokens of a piece of documents.
-SEGMENT, PIECE = 1 << 24, 500_000
+#: Training tokens for each segment of the filter; tokens of a piece of documents.
+SEGMENT, PIECE = 3_000_000, 500_000
 
 
 def pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -109,13 +112,14 @@ def edges(segments: int) -> np.ndarray:
     return np.array([(i << 64) // segments for i in range(1, segments)], np.uint64)
 
 
-def planes(v: np.ndarray) -> bytes:
-    """32-bit values, their bytes by rank: high ones are mostly zero, and shuffles compress them away."""
-    return np.ascontiguousarray(v, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def planes(v: np.ndarray, kind: type = np.uint32) -> bytes:
+    """Whole numbers, their bytes by rank: high ones are mostly zero, and compress away."""
+    v = np.ascontiguousarray(v, kind)
+    return v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes()
 
 
-def values(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def values(b: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def within(keys: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
@@ -124,199 +128,166 @@ def within(keys: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
     return [((k - low) >> shift).astype(np.uint32) for k, low in zip(np.split(keys, np.searchsorted(keys, edge)), np.append(np.uint64(0), edge), strict=True)]
 
 
-def packed(place: np.ndarray) -> bytes:
-    return planes(np.diff(place, prepend=np.uint32(0)))
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    return np.cumsum(values(b), dtype=np.uint32).astype(np.uint64)
-
+PIECES = "ids array<bigint>, sizes array<int>, learned array<boolean>, n bigint, words binary, tokens binary"
 
-def _count(edge: np.ndarray):
-    """Words and pairs with their counts by segment, summed over a million tokens at a time. The start mark counts documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, held = [], [], 0
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, about PIECE tokens a row: ids, sizes, which are learned from and how many tokens these have, the distinct words by frequency (the start mark last), and each token's number among them."""
+    ids, docs, learned, held = [], [], [], 0
+
+    def emit() -> pa.RecordBatch:
+        words, token, times = np.unique(np.concatenate(docs), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        sizes = np.array([len(d) for d in docs])
+        row = [[ids.copy()], [sizes.tolist()], [learned.copy()], [int(sizes[np.array(learned, bool)].sum())], [np.append(words[order], START).tobytes()], [pa.compress(planes(number[token]), "zstd", asbytes=True)]]
+        ids.clear(), docs.clear(), learned.clear()
+        kinds = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["ids", "sizes", "learned", "n", "words", "tokens"])
 
-        def emit():
-            (words, times), (pairs, often) = (np.unique(np.concatenate(got) if got else np.empty(0, np.uint64), return_counts=True) for got in (ones, twos))
-            ones.clear(), twos.clear()
-            at, by = np.searchsorted(words, edge), np.searchsorted(pairs, edge)
-            split = ([x.tobytes() for x in np.split(words, at)], [planes(x) for x in np.split(times, at)], [packed(x) for x in within(pairs, edge)], [planes(x) for x in np.split(often, by)])
-            cols = [pa.array(range(len(edge) + 1), pa.int32()), *(pa.array(x, pa.binary()) for x in split)]
-            return pa.RecordBatch.from_arrays(cols, ["seg", "words", "times", "pairs", "often"])
+    for b in batches:
+        for doc_id, text, learn in zip(b.column("doc_id"), b.column("__bytes"), b.column("__learned"), strict=True):
+            docs.append(np.append(WORDS.of(text.as_py().lower().split()), END))
+            ids.append(doc_id.as_py())
+            learned.append(learn.as_py())
+            held += len(docs[-1])
+            if held >= PIECE:
+                yield emit()
+                held = 0
+    if docs:
+        yield emit()
 
-        for b in batches:
-            for t in b.column(0):
-                all_ = np.concatenate([[START], WORDS.of(t.as_py().lower().split()), [END]]).astype(np.uint64)
-                ones.append(all_)
-                twos.append(pair(all_[:-1], all_[1:]))
-                held += len(all_)
-                if held > 1_000_000:
-                    yield emit()
-                    held = 0
-        if held:
-            yield emit()
 
-    return run
+class Piece:
+    """A piece's words and distinct pairs, sorted by hash, and for each token its place among the words, that of what stands before it, and that of the pair."""
 
+    def __init__(self, words: bytes, tokens: bytes, sizes: np.ndarray):
+        words, self.sizes = np.frombuffer(words, np.uint64), sizes
+        order = np.argsort(words)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.words = words[order]
+        self.token = place[values(pa.decompress(tokens, 4 * int(sizes.sum()), "zstd", asbytes=True))]
+        self.start = int(place[-1])
+        self.before = np.roll(self.token, 1)
+        self.before[np.cumsum(sizes) - sizes] = self.start
+        self.pairs, self.pair = np.unique(pair(self.words[self.before], self.words[self.token]), return_inverse=True)
 
-def _joined(column: pa.ChunkedArray, read, kind: type) -> np.ndarray:
-    return np.concatenate([np.empty(0, kind), *(read(x.as_py()) for x in column)])
 
+CELLS = "piece bigint, seg int, words binary, times binary, pairs binary, often binary"
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(times[order].astype(np.int64), first) if len(keys) else np.empty(0, np.int64)
 
+def _cells(edge: np.ndarray):
+    """The distinct n-grams of pieces with their training counts, those of a segment in a row. The start mark counts documents."""
 
-def _segment(edge: np.ndarray, base: float, bits: int, least: int):
-    """A segment from its counts: its part of the filter, and its words with exact counts."""
-
-    def run(t: pa.Table) -> pa.Table:
-        seg = t["seg"][0].as_py()
-        words, times = _summed(_joined(t["words"], lambda x: np.frombuffer(x, np.uint64), np.uint64), _joined(t["times"], values, np.uint32))
-        pairs, often = _summed(_joined(t["pairs"], unpacked, np.uint64), _joined(t["often"], values, np.uint32))
-        keys, c = np.append(within(words, edge)[seg].astype(np.uint64), pairs[often >= least]), np.append(times, often[often >= least])
-        entries = int(np.searchsorted(levels(base), c, side="right").sum())
-        real = words != START
-        return pa.table({
-            "seg": pa.array([seg], pa.int32()), "entries": pa.array([entries], pa.int64()), "bits": pa.array([fill(keys, c, max(1, -(-entries * bits // 8)) * 8, base).tobytes()], pa.binary()),
-            "words": lists([words[real].view(np.int64)], pa.int64()), "times": lists([times[real]], pa.int64()),
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, words, tokens, sizes, learned in zip(*(b.column(c) for c in ("piece", "words", "tokens", "sizes", "learned")), strict=True):
+                p, learned = Piece(words.as_py(), tokens.as_py(), sizes.values.to_numpy()), learned.values.to_numpy(zero_copy_only=False).astype(bool)
+                of = np.repeat(learned, p.sizes)
+                times = np.bincount(p.token[of], minlength=len(p.words))
+                times[p.start] = learned.sum()
+                often = np.bincount(p.pair[of], minlength=len(p.pairs))
+                at, by = np.searchsorted(p.words, edge), np.searchsorted(p.pairs, edge)
+                cut = np.split(p.words, at), np.split(times, at), within(p.pairs, edge), np.split(often, by)
+                some = [i for i in range(len(edge) + 1) if len(cut[0][i]) or len(cut[2][i])]
+                columns = [[cut[0][i].tobytes() for i in some], [planes(cut[1][i]) for i in some], [planes(np.diff(cut[2][i], prepend=np.uint32(0))) for i in some], [planes(cut[3][i]) for i in some]]
+                yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["piece", "seg", "words", "times", "pairs", "often"])
 
     return run
 
 
-SEGMENTS = "seg int, entries bigint, bits binary, words array<bigint>, times array<bigint>"
+def _joined(column: pa.ChunkedArray, read, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and where each row but the first begins."""
+    rows = [read(x.as_py()) for x in column]
+    return np.concatenate([np.empty(0, kind), *rows]), np.cumsum([len(x) for x in rows])[:-1]
 
 
-def segments(train: DataFrame, *, segment: int = SEGMENT, least: int = 1, base: float = 1.5, bits: int = 12) -> tuple[DataFrame, np.ndarray]:
-    """The filter of training documents (__bytes), a row a segment, and where segments begin."""
-    size = train.agg(F.sum(F.octet_length("__bytes"))).first()[0] or 0
-    edge = edges(max(1, math.ceil(size / segment)))
-    counted = train.select("__bytes").mapInArrow(_count(edge), "seg int, words binary, times binary, pairs binary, often binary")
-    return counted.groupBy("seg").applyInArrow(_segment(edge, base, bits, least), SEGMENTS), edge
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of each, and the place of each key among them."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=times, minlength=len(distinct)).astype(np.int64), at
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents, PIECE tokens a row: their ids and sizes, the distinct words, and the place of each token among these."""
-    for b in batches:
-        at = 0
-        while at < b.num_rows:
-            docs, held = [], 0
-            while at < b.num_rows and held < PIECE:
-                docs.append(np.append(WORDS.of(b.column("__bytes")[at].as_py().lower().split()), END))
-                held += len(docs[-1])
-                at += 1
-            ids = b.column("doc_id").slice(at - len(docs), len(docs))
-            words, token = np.unique(np.append(np.concatenate(docs), START), return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), lists([np.array([len(d) for d in docs])], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([token[:-1].astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()], pa.binary())],
-                ["ids", "sizes", "words", "tokens"],
-            )
-
-
-def _unpacked(words: bytes, tokens: bytes, sizes: np.ndarray):
-    """Words of a piece, places of its tokens and of what stands before each, and its distinct pairs with each token's place among these."""
-    words = np.frombuffer(words, np.uint64)
-    token = np.frombuffer(tokens, np.uint16 if len(words) <= 1 << 16 else np.uint32).astype(np.int64)
-    before = np.roll(token, 1)
-    before[np.cumsum(sizes) - sizes] = np.searchsorted(words, START)
-    pairs, which = np.unique(pair(words[before], words[token]), return_inverse=True)
-    return words, token, before, pairs, which
-
-
-def _ask(edge: np.ndarray):
-    """The distinct n-grams of pieces, each sent to its segment."""
+ANSWERS = "piece bigint, seg int, entries bigint, n bigint, known bigint, bits binary, counts binary, words binary, pairs binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for piece, words, tokens, sizes in zip(*(b.column(c) for c in ("piece", "words", "tokens", "sizes")), strict=True):
-                words, _, _, pairs, _ = _unpacked(words.as_py(), tokens.as_py(), sizes.values.to_numpy())
-                cut, n = [within(k, edge) for k in (words, pairs)], len(edge) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([piece.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array([packed(x) for x in c], pa.binary()) for c in cut)], ["piece", "seg", "words", "pairs"])
 
-    return run
+def _segment(edge: np.ndarray, base: float, bits: int, least: int):
+    """From the cells of a segment: its part of the filter in a row without a piece, with its tokens and words; and for each cell exact counts of its words and the levels that the filter has of its words and pairs."""
 
+    def run(t: pa.Table) -> pa.Table:
+        seg = t["seg"][0].as_py()
+        words, cut = _joined(t["words"], lambda x: np.frombuffer(x, np.uint64), np.uint64)
+        words, times, at = _summed(words, _joined(t["times"], values, np.uint32)[0])
+        pairs, split = _joined(t["pairs"], lambda x: np.cumsum(values(x), dtype=np.uint32), np.uint32)
+        pairs, often, which = _summed(pairs, _joined(t["often"], values, np.uint32)[0])
+        place, real, pairs = within(words, edge)[seg].astype(np.uint64), words != START, pairs.astype(np.uint64)
+        keys, c = np.append(place[times > 0], pairs[often >= least]), np.append(times[times > 0], often[often >= least])
+        entries = int(np.searchsorted(levels(base), c, side="right").sum())
+        made = Filter(fill(keys, c, max(1, -(-entries * bits // 8)) * 8, base), base)
+        found = [[x.tobytes() for x in np.split(made.levels(k).astype(np.uint8)[a], e)] for k, a, e in ((place, at, cut), (pairs, which, split))]
+        exact = [planes(x, np.uint64) for x in np.split(times[at], cut)]
+        n, none = t.num_rows, [None]
+        columns = [
+            none + t["piece"].to_pylist(), [seg] * (n + 1), [entries] + none * n, [int(times[real].sum())] + none * n, [int((times[real] > 0).sum())] + none * n, [made.bits.tobytes()] + none * n,
+            none + exact, none + found[0], none + found[1],
+        ]
+        kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "seg", "entries", "n", "known", "bits", "counts", "words", "pairs"])
 
-def _probe(base: float):
-    """Levels of the n-grams that pieces ask of a segment; of a segment without entries all are 0."""
+    return run
 
-    def run(made: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        for c in ("words", "pairs"):
-            keys = _joined(asked[c], unpacked, np.uint64)
-            level = Filter(np.frombuffer(made["bits"][0].as_py(), np.uint8), base).levels(keys) if made.num_rows else np.zeros(len(keys), np.int64)
-            ends = np.cumsum([len(x.as_py()) // 4 for x in asked[c]])[:-1] if asked.num_rows else []
-            found.append(pa.array([x.tobytes() for x in np.split(level.astype(np.uint8), ends)][: asked.num_rows], pa.binary()))
-        return pa.table({"piece": asked["piece"], "seg": asked["seg"], "words": found[0], "pairs": found[1]})
 
-    return run
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _score(hot, total: int, distinct: int, mu: float, base: float):
-    """A row for each document: tokens, known and log score of frequent ones, the model's score, and hashes and counts of rarer words."""
+def _score(total: int, distinct: int, mu: float, base: float):
+    """A row for each document of a piece, from the answers of the segments."""
     scale, middle = total + 0.1 * (distinct + 1), Filter(np.zeros(1, np.uint8), base).middle
 
     def run(piece: pa.Table, found: pa.Table) -> pa.Table:
-        keys, times = hot.value
-        ids, sizes = piece["ids"].combine_chunks().flatten(), piece["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        words, place, before, _, which = _unpacked(piece["words"][0].as_py(), piece["tokens"][0].as_py(), sizes)
-        token, n = words[place], len(sizes)
-        owner = np.repeat(np.arange(n), sizes)
-
-        # the model: counts of distinct words and pairs, as their segments found them
+        sizes = piece["sizes"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        p, n = Piece(piece["words"][0].as_py(), piece["tokens"][0].as_py(), sizes), len(sizes)
         found = found.sort_by("seg")
-        count, joint = (middle[_joined(found[c], lambda x: np.frombuffer(x, np.uint8), np.uint8)] for c in ("words", "pairs"))
-        own, before = (count[place] + 0.1) / scale, count[before]
-        p = (np.minimum(joint[which], before) + mu * own) / (before + mu)
-        score = np.bincount(owner, weights=np.log10(p), minlength=n)
-
-        # the base: exact counts of frequent words here, rarer ones passed on
-        at = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
-        known = keys[at] == token if len(keys) else np.zeros(len(token), bool)
-        base = np.bincount(owner[known], weights=np.log10((times[at[known]] + 0.1) / scale), minlength=n) if known.any() else np.zeros(n)
-        ends = np.cumsum(sizes)[:-1]
-        rare = [np.unique(d[~k], return_counts=True) for d, k in zip(np.split(token, ends), np.split(known, ends), strict=True)]
-        return pa.table(
-            [ids, pa.array(sizes, pa.int64()), pa.array(np.bincount(owner[known], minlength=n), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), lists([k.view(np.int64) for k, _ in rare], pa.int64()), lists([c for _, c in rare], pa.int32())],
-            ["doc_id", "n_tokens", "hot_known", "hot_base", "score", "rare", "times"],
-        )
+        exact = _joined(found["counts"], lambda x: values(x, np.uint64), np.uint64)[0]
+        count, joint = (middle[_joined(found[c], lambda x: np.frombuffer(x, np.uint8), np.uint8)[0]] for c in ("words", "pairs"))
+        owner = np.repeat(np.arange(n), sizes)
+        plain = np.bincount(owner, weights=np.log10((exact + 0.1) / scale)[p.token], minlength=n)
+        known = np.bincount(owner, weights=(exact > 0)[p.token], minlength=n).astype(np.int64)
+        # the model: each distinct pair's probability once
+        first = np.empty(len(p.pairs), np.int64)
+        first[p.pair] = np.arange(len(p.pair))
+        h, w = p.before[first], p.token[first]
+        each = np.log10((np.minimum(joint, count[h]) + mu * (count[w] + 0.1) / scale) / (count[h] + mu))
+        score = np.bincount(owner, weights=each[p.pair], minlength=n)
+        ids, held = piece["ids"].combine_chunks().flatten(), pc.invert(piece["learned"].combine_chunks().flatten())
+        return pa.table([ids, held, pa.array(sizes), pa.array(known), pa.array(plain), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-SCORED = "doc_id bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, rare array<bigint>, times array<int>"
+def _answered(tables: Tables, docs: DataFrame, segment: int, base: float, bits: int, least: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Pieces of ``docs`` (doc_id, __bytes, __learned), the answers of the segments, and where segments begin."""
+    pieces = tables.keep(docs.mapInArrow(_pieces, PIECES).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    size = pieces.agg(F.sum("n")).first()[0] or 0
+    edge = edges(max(1, math.ceil(size / segment)))
+    cells = pieces.select("piece", "words", "tokens", "sizes", "learned").mapInArrow(_cells(edge), CELLS)
+    return pieces, tables.keep(cells.groupBy("seg").applyInArrow(_segment(edge, base, bits, least), ANSWERS), "answers"), edge
+
+
+def segments(train: DataFrame, *, segment: int = SEGMENT, least: int = 1, base: float = 1.5, bits: int = 12) -> tuple[DataFrame, np.ndarray]:
+    """The filter of training documents (__bytes), a row (seg, entries, n, known, bits) a segment, and where segments begin."""
+    docs = train.select(F.lit(None).cast("long").alias("doc_id"), "__bytes", F.lit(True).alias("__learned"))
+    _, answers, edge = _answered(Tables(train.sparkSession, "lm"), docs, segment, base, bits, least)
+    return answers.filter("piece is null").select("seg", "entries", "n", "known", "bits"), edge
 
 
 def score(docs: DataFrame, *, folds: int = 10, least: int = 1, mu: float = 300.0, base: float = 1.5, bits: int = 12, segment: int = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    tables = Tables(spark, "lm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("__bytes"))
-    made, edge = segments(docs.filter(~held_out(F.col("doc_id"), folds)), segment=segment, least=least, base=base, bits=bits)
-    made = tables.keep(made, "segments")
-    words = made.select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("key"), F.col("x.times").alias("c"))
-    total, distinct = words.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    top = words.orderBy(F.col("c").desc(), "key").limit(HOT).toPandas()  # HOT rows at most
-    order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    hot = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.float64)[order]))
-
-    pieces = tables.keep(docs.mapInArrow(_pieces, "ids array<bigint>, sizes array<int>, words binary, tokens binary").withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    asked = pieces.mapInArrow(_ask(edge), "piece bigint, seg int, words binary, pairs binary")
-    found = made.select("seg", "bits").groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(_probe(base), "piece bigint, seg int, words binary, pairs binary")
-    each = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(_score(hot, total, distinct, mu, base), SCORED)
-    scored = tables.keep(each.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tables.drop(pieces)
-    scale = float(total + 0.1 * (distinct + 1))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    logs = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / scale) * F.col("times")
-    tail = rare.join(words, "key", "left").groupBy("row").agg(F.sum(logs).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    return scored.drop("rare", "times").join(tail, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("hot_base") + F.coalesce("tail", F.lit(0.0))).alias("base_score"), "score",
-    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("__bytes"), (~held_out(F.col("doc_id").cast("long"), folds)).alias("__learned"))
+    pieces, answers, _ = _answered(Tables(docs.sparkSession, "lm"), docs, segment, base, bits, least)
+    total, distinct = answers.filter("piece is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    found = answers.filter("piece is not null").select("piece", "seg", "counts", "words", "pairs")
+    scored = pieces.groupBy("piece").cogroup(found.groupBy("piece")).applyInArrow(_score(total, distinct, mu, base), SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
