@@ -445,3 +445,135 @@ def test_tables_are_durable_and_go(spark):
     import os
 
     assert not os.path.exists(folder)
+
+
+# ---- long texts, brute force on small tables ----
+
+
+def test_a_long_sentence_that_names_a_licence(spark):
+    long = " ".join(words(5, 20_000)) + " released under the mit license"
+    rows = [("a/LICENSE", "Released under the MIT license. " + " ".join(words(6, 30))), ("a/b/c.txt", long), ("a/b/d.txt", "plain words")]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/LICENSE"]["licence"] == "MIT" and got["a/b/c.txt"]["licence"] is None
+    assert got["a/b/d.txt"]["effective"] == "MIT" and got["a/b/d.txt"]["from_dir"] == "a"
+
+
+def test_documents_inherit_from_directories_above(spark):
+    rows = [(10_100, "Released under the MIT license. More words follow.", "en", "s"), (10_205, "Plain words only.", "en", "s"), (20_005, "Plain words only.", "en", "s")]
+    got = {r["doc_id"]: r for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[10_100]["path"] == "s/en/1/10100" and got[10_205]["path"] == "s/en/1/102/10205"
+    assert got[10_205]["inherited"] == "MIT" and got[10_205]["from_dir"] == "s/en/1" and got[20_005]["inherited"] is None
+
+
+def test_ranked_byte_pairs_are_the_tokenizer():
+    made, model = packing.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    assert made.fast is not None
+    points = [chr(c) for c in [*range(0x3100), *range(0xA000, 0xD800, 7), *range(0xE000, 0x110000, 97)]]
+    texts = ["|".join(f"a{c}1 {c}{c}b {c} 2{c}" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    texts += ["", " ", "a  b   c <|endoftext|> d", "<|endoftext|>", "x\n\n y\t z ", "it's we'll I'VE 'S", "x" * 5000]
+    for t in texts:
+        assert made.ids(t) == np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_rows_without_id_spread_over_shards(spark):
+    rows = [(None, " ".join(words(i, 60)), "s") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=1000, carry=("text",))
+    assert got.agg(F.sum("taken")).first()[0] == pytest.approx(1.5 * 400 * 60, rel=0.02)
+    order = mixing.seeded(17, F.lit(None), F.md5(F.col("text").cast("binary")))
+    assert spark.createDataFrame(rows, "doc_id long, text string, source string").select(order.alias("o")).distinct().count() == 400
+
+
+HIDDEN = """
+please contact {email|r.stone (at) mail.example} soon
+my mail is {email|eva [at] post [dot] example} if needed
+mail {email|kim[at]office.example} any day
+reach me under {email|ann (at) web (dot) org} tonight
+call {phone|555-014-2288} after lunch
+tel {phone|030 765 43 21} until five
+phone {phone|(555) 019-4410} for help
+fax {phone|555.014.7733} is off
+host {ip|10-2-3-44} went down
+server {ip|172-20-9-8} is slow
+login from {ip|198[.]51[.]100[.]7} was seen
+card {card|5555 5555 5555 4444} was charged
+the card {card|4000-0566-5566-5556} is new
+"""
+CLEAN = """
+in 1987 and 2011 the town had 14,200 people
+on 2023-04-18 at 11:45 we met again
+version 2.10.7 came out after 3.1
+he paid 19.95 for 12 of them
+isbn 978-0-306-40615-7 is a book
+chapter 4 page 210 line 9
+it was (at the time) fine and [dot] so on
+about 60 % of 4200 rows were read
+order 5512873 of 14 items is late
+"""
+
+
+def test_the_field_finds_hidden_spans():
+    field, want, got = pii.train(), set(), set()
+    for n, line in enumerate((HIDDEN + CLEAN).strip().splitlines()):
+        text, at = "", 0
+        for m in pii._MARK.finditer(line):
+            text += line[at : m.start()]
+            want.add((n, pii.KINDS.index(m[1]), len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        base, added = pii.find([text + line[at:]], field)[0]
+        got |= {(n, *s) for s in base + added}
+    assert len(got & want) / len(want) >= 0.8 and len(got & want) / len(got) >= 0.9
+
+
+def test_scores_are_sparse_dot_products(spark, odd, labels):
+    weights, intercept = quality.fit(odd, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(odd, labels).collect()}
+    for i, text, *_ in odd_rows():
+        if i is not None:
+            index, value = quality.features((text or "").encode())
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-(float(weights[index] @ value) + intercept))), abs=1e-6)
+
+
+def test_ftrl_steps_match_plain_python():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4).astype(np.float32), int(rng.integers(2))) for _ in range(30)]
+    alpha, beta, l1, l2, bits = 2.0, 1.0, 1e-4, 1e-3, 4
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 * (i < 16) else (math.copysign(l1 * (i < 16), z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for epoch in range(3):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            x = dict(zip([*rows[at][0].tolist(), 16], [*map(float, rows[at][1]), 0.2], strict=True))
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - rows[at][2]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    w, b = quality.train(rows, bits=bits, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert w.tolist() == pytest.approx([weight(i) for i in range(16)], abs=1e-5) and b == pytest.approx(0.2 * weight(16), abs=1e-5)
+
+
+def test_nearest_neighbours_over_many_cells(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 16)) + 4 * rng.normal(size=(20, 16))[rng.integers(20, size=4000)]
+    x[100:400] = x[100]  # one vector three hundred times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(200, x[200].tolist()), (4000, None), (4100, [0.0] * 16)], "vec_id long, embedding array<double>")
+    got = ann.search(df, cell=300, part=150, block=8, again=40).toPandas()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = sorted((d[i], i) for i in range(4000) if i != q)[:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == 10 and mine.score.is_monotonic_increasing
+        hits += len({i for _, i in want} & set(mine.vec_id))
+    assert hits >= 0.95 * 400
+    assert sorted(set(got[got.query_id == 100].vec_id))[:3] == [101, 102, 103]
+
+
+def test_out_of_place_distance_matches_plain_python(spark):
+    lists = {"a": langid.ranked("the cat and the dog in the house", 40), "b": langid.ranked("der hund und die katze in dem haus", 40)}
+    known = langid.Profiles(lists, 40)
+    for text in ("the dog", "die katze", "house haus", "q"):
+        own = langid.ranked(text, 40).tolist()
+        apart = {x: sum(abs(p.tolist().index(g) - i) if g in p else 40 for i, g in enumerate(own)) for x, p in lists.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert known.nearest(text) == (best, pytest.approx(1 - apart[best] / (40 * len(own))))

@@ -56,14 +56,20 @@ def weights(templates=TEMPLATES) -> tuple[dict[str, float], dict[str, list[float
 
 
 def _best(terms: Column, templates=TEMPLATES) -> Column:
-    """struct(score, nth): the largest cosine of a bag of terms to a template, and which."""
+    """struct(score, nth): the largest cosine of a bag of terms to a template, and which. Linear in the terms but for one sort."""
     idf, rows, unknown = weights(templates)
     table = F.create_map(*(x for t, row in rows.items() for x in (F.lit(t), F.array(*(F.lit(v * idf[t]) for v in row)))))
-    known = F.create_map(*(x for t, v in sorted(idf.items()) for x in (F.lit(t), F.lit(v))))
-    counted = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).cast("double").alias("n")))
-    square = F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + F.pow(x["n"] * F.coalesce(F.try_element_at(known, x["t"]), F.lit(unknown)), F.lit(2.0)))
+    known = F.create_map(*(x for t, v in sorted(idf.items()) for x in (F.lit(t), F.lit(v * v))))
+    # the square of a bag's length: an n-th occurrence of a term adds (2 n - 1) of its squared weight
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0.0).alias("square"))
+
+    def add(acc: Column, t: Column) -> Column:
+        n = F.when(acc["last"] == t, acc["n"] + 1).otherwise(F.lit(1))
+        return F.struct(t.alias("last"), n.alias("n"), (acc["square"] + (2 * n - 1) * F.coalesce(F.try_element_at(known, t), F.lit(unknown * unknown))).alias("square"))
+
+    square = F.aggregate(F.array_sort(terms), zero, add, lambda acc: acc["square"])
     zeros = F.array(*(F.lit(0.0) for _ in templates))
-    dots = F.aggregate(counted, zeros, lambda acc, x: F.zip_with(acc, F.coalesce(F.try_element_at(table, x["t"]), zeros), lambda a, w: a + w * x["n"]))
+    dots = F.aggregate(F.filter(terms, lambda t: F.map_contains_key(known, t)), zeros, lambda acc, t: F.zip_with(acc, F.try_element_at(table, t), lambda a, w: a + w))
     scores = F.transform(dots, lambda d, i: F.struct(F.when(square > 0, d / F.sqrt(square)).otherwise(F.lit(0.0)).alias("score"), (-i).alias("nth")))
     return F.array_max(scores)
 
@@ -72,7 +78,7 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def stated(files: DataFrame, *, cutoff: float = 0.6, file_terms: int = 2000) -> DataFrame:
+def stated(files: DataFrame, *, cutoff: float = 0.6) -> DataFrame:
     """``files`` (path, text, others) with ``licence`` and ``score``: what a file states itself, and ``edge``: whether its first or last sentence does."""
     names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
@@ -85,7 +91,7 @@ def stated(files: DataFrame, *, cutoff: float = 0.6, file_terms: int = 2000) ->
     found = F.when(mentions, F.filter(sentences, lambda x: mention(x["s"])))
     rows = files.withColumn("__found", found).withColumn("__last", F.when(F.col("__found").isNotNull(), last))
     each = F.transform("__found", lambda x: F.struct(_best(terms_of(x["s"])).alias("best"), (-x["i"]).alias("i")))
-    whole = F.when(F.regexp_like(F.col("path"), F.lit(LICENCE_FILE)) & F.col("__found").isNotNull(), _best(F.slice(terms_of(F.col("text")), 1, file_terms)))
+    whole = F.when(F.regexp_like(F.col("path"), F.lit(LICENCE_FILE)) & F.col("__found").isNotNull(), _best(terms_of(F.col("text"))))
     rows = rows.withColumn("__each", F.array_max(each)).withColumn("__whole", whole)
     rows = rows.withColumn("__best", F.greatest(F.col("__each.best"), F.col("__whole")))
     enough = F.coalesce(F.col("__best.score") >= cutoff, F.lit(False))
@@ -118,12 +124,17 @@ def scan(files: DataFrame, *, cutoff: float = 0.6) -> DataFrame:
     return rows.select("path", "licence", "score", "from_dir", "inherited", F.coalesce("licence", "inherited").alias("effective"))
 
 
-def scan_documents(docs: DataFrame, *, cutoff: float = 0.6, folder: int = 1000) -> DataFrame:
-    """The scan of ``docs`` (doc_id, text, lang, source), laid out as files source/lang/thousands/doc_id; one whose first or last sentence states a licence is its directory's licence file."""
+def scan_documents(docs: DataFrame, *, cutoff: float = 0.6, folder: int = 100) -> DataFrame:
+    """The scan of ``docs`` (doc_id, text, lang, source), laid out as a tree of files: source/lang/a/b/doc_id with b the hundred and a the hundred hundreds of doc_id.
+
+    The first file of a hundred lies a directory higher, the first of a hundred hundreds two. A file whose first or last sentence states a licence is its directory's licence file.
+    """
     tables = Tables(docs.sparkSession, "licenses")
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    path = F.concat_ws("/", unknown("source"), unknown("lang"), F.floor(F.col("doc_id") / folder).cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    number = F.col("doc_id").cast("long")
+    level = lambda size: F.when(number % size != 0, F.floor(number / size).cast("string"))
+    path = F.concat_ws("/", unknown("source"), unknown("lang"), level(folder * folder), level(folder), number.cast("string"))
+    files = docs.select(number.alias("doc_id"), F.when(number.isNotNull(), path).alias("path"), "text")
     rows = tables.keep(stated(files, cutoff=cutoff).drop("text"), "stated")
     rows = inherited(rows.withColumnRenamed("edge", "is_file"))
     return rows.select("doc_id", "path", "licence", "score", "from_dir", "inherited", F.coalesce("licence", "inherited").alias("effective"))

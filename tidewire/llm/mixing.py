@@ -2,11 +2,11 @@
 
 Sources get shares of the words to take by weight; a source that would exceed its cap stops there and the excess is
 shared anew among the others (water filling). The shares become whole blocks of equal size by highest quotients
-share / (2k + 1): first among sources, then among the shards of each source. In a shard the documents stand in a seeded
+share / (2k + 1): first among sources, then among groups of shards, then among the shards of each group. In a shard the documents stand in a seeded
 order and form a ring of blocks; whole rounds of the ring are taken first, and the rest from a seeded block on.
 
-A shard holds about ``shard_words`` words, so a source with a third of all rows is many tasks. Only the tables of
-sources and of shards are ranked as wholes.
+A shard holds about ``shard_words`` words, so a source with a third of all rows is many tasks. A document's place comes
+from its id and its text, so rows that share an id, or have none, spread over shards as well.
 
 Defined results: a null text has size 0 and nothing taken; a null source is a source of its own, last in order; rows
 that repeat a doc_id are counted and taken each; a null doc_id takes part. In the mixed
@@ -22,6 +22,8 @@ from .common import SPACE, WORD, Tables
 
 #: Quotas differ from exact shares by fewer than this many blocks, so quotients outside this window need no look.
 NEAR = 2
+#: Shards that share a group's quota: sources hand out to groups, groups to shards, so that no task ranks more than this or the number of groups.
+GROUP = 1024
 
 
 def seeded(seed: int, *cols: Column) -> Column:
@@ -52,7 +54,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
     """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source), and where in its shard's ring it lies."""
     tables = Tables(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = tables.keep(docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"), *(F.col(c).alias(f"__c_{c}") for c in carry)), "sized")
+    order = seeded(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    sized = tables.keep(docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), size.alias("__size"), order.alias("__order"), *(F.col(c).alias(f"__c_{c}") for c in carry)), "sized")
 
     everything = Window.partitionBy()
     sources = sized.groupBy("__source").agg(F.sum("__size").alias("source_size"))
@@ -72,9 +75,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
     sources = tables.keep(sources.select("__source", "nth", "source_size", "target", "block", F.col("quota").alias("source_quota"), "shards"), "sources")
 
     placed = sized.join(sources, sized["__source"].eqNullSafe(sources["__source"])).drop(sources["__source"])
-    placed = placed.withColumn("__order", seeded(seed, F.col("__id"))).withColumn("__shard", number(F.col("__order")) % F.col("shards"))
-    shards = placed.groupBy("nth", "__shard").agg(F.sum("__size").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
-    shards = sainte_lague(shards.withColumn("words", F.col("words").cast("double")), ["nth"], ["__shard"], "words", "source_quota")
+    placed = placed.withColumn("__shard", number(F.col("__order")) % F.col("shards"))
+    shards = placed.groupBy("nth", "__shard").agg(F.sum("__size").cast("double").alias("words"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
+    shards = tables.keep(shards.withColumn("__group", F.floor(F.col("__shard") / GROUP).cast("long")), "sizes")
+    groups = shards.groupBy("nth", "__group").agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"))
+    groups = sainte_lague(groups, ["nth"], ["__group"], "words", "source_quota").select("nth", "__group", F.col("quota").alias("group_quota"))
+    shards = sainte_lague(shards.join(groups, ["nth", "__group"]), ["nth", "__group"], ["__shard"], "words", "group_quota")
     take = F.least(F.col("quota") * F.col("block"), (cap * F.col("words")).cast("long"))
     shards = shards.select("nth", "__shard", F.col("words").cast("long").alias("words"), take.alias("take"))
     shards = shards.withColumn("rounds", F.when(F.col("words") > 0, F.expr("take div words")).otherwise(F.lit(0)).cast("long"))

@@ -41,7 +41,8 @@ from .common import WORDS, Tables, chain, lists, mix, text_bytes
 HASHES, FIRST, ROWS, BATCH = 512, 128, 4, 16
 BANDS = FIRST // ROWS
 WIDTH = 5
-BLOCK = 512
+#: Rows of a block, and shingles of a block of full sets.
+BLOCK, SHINGLES = 512, 1_000_000
 HOMES, CROWD = 4, 16
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
@@ -94,12 +95,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     more.append(b"")
                     bands.append(np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(more, pa.binary()), lists(bands, pa.int64())],
-                ["doc_id", "n_shingles", "fp1", "fp2", "sig", "more", "bands"],
+                [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(np.array(fp1, np.uint64).view(np.int64)), pa.array(np.array(fp2, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(more, pa.binary()), lists(bands, pa.int64())],
+                ["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "sig", "more", "bands"],
             )
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, more binary, bands array<bigint>"
+SKETCH = "doc_id bigint, text_hash bigint, n_shingles bigint, fp1 bigint, fp2 bigint, sig binary, more binary, bands array<bigint>"
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -260,13 +261,15 @@ def _rarest(often, percent: int):
         n = often.value
         for b in batches:
             for low in range(0, b.num_rows, 1000):
-                part, keys = b.slice(low, 1000), []
+                part, keys, sizes = b.slice(low, 1000), [], []
                 for t in part.column(1):
                     s = shingles(t.as_py())
                     order = np.lexsort((s, n[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                     keys.append(s[order[: len(s) + (-percent * len(s)) // 100 + 1]].view(np.int64))
-                reps = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["rep", "key"])
+                    sizes.append(len(s))
+                each = [len(k) for k in keys]
+                reps = np.repeat(part.column(0).to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(np.repeat(sizes, each), pa.int64())], ["rep", "key", "size"])
 
     return run
 
@@ -292,13 +295,13 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text), and xxhash64 of its text's bytes, text_hash."""
     spark = docs.sparkSession
     tables, bounds = Tables(spark, "neardup"), least_matches(percent / 100, miss)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
-    sketch = tables.keep(source.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = tables.keep(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, SKETCH), "sketch")
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = tables.keep(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("bands").alias("bands")), "classes")
+    classes = tables.keep(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -320,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
 
     # Classes that shared a bucket with another component and may not have met it.
     def placed(keyed: DataFrame) -> DataFrame:
-        return keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        return keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"), *(c for c in ("size",) if c in keyed.columns))
 
     def mixed(rows: DataFrame, least: int) -> DataFrame:
         return rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(f"n >= {least} and lo <> hi").select("key", "n")
@@ -331,12 +334,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
     often = np.zeros(COUNTERS, np.int64)
     sums = texts.mapInArrow(_counters, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     often[sums["at"].to_numpy()] = sums["n"].to_numpy()
-    rare = tables.keep(texts.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "rep bigint, key bigint"), "rare")
+    rare = tables.keep(texts.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "rep bigint, key bigint, size bigint"), "rare")
     at = placed(rare)
     rest = tables.keep(at.join(mixed(at, 2), "key"), "rest")
     crowded = rest.filter(F.col("n") > CROWD)
     chosen = crowded.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= HOMES)
-    chosen = tables.keep(chosen.select("key", "rep", "comp"), "homes")
+    chosen = tables.keep(chosen.select("key", "rep", "comp", "size"), "homes")
     homes = chosen.groupBy("rep").agg(F.collect_list("key").alias("homes"))  # HOMES keys at most
     none = F.array().cast("array<bigint>")
 
@@ -348,15 +351,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
         cells = rows.select("key", cell.alias("cell"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "rep", "comp", "load", "homes")
         return cells.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_cells(compare), "a bigint, b bigint")
 
-    counted = chosen.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "n")
+    counted = chosen.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") * BLOCK / SHINGLES)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "n")
     full = texts.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, load binary")
     true = compared(chosen.join(counted, "key").join(full, "rep").withColumn("homes", none), _by_set(percent))
-    others = rest.join(classes.select("rep", F.col("sig").alias("load")), "rep").join(homes, "rep", "left").withColumn("homes", F.coalesce("homes", none))
+    others = rest.drop("size").join(classes.select("rep", F.col("sig").alias("load")), "rep").join(homes, "rep", "left").withColumn("homes", F.coalesce("homes", none))
     last = tables.keep(true.distinct(), "crowds").union(confirmed(compared(others, _by_signature(bounds))))
     labels = components(tables, links.union(last))
 
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
-    joined = sketch.select("doc_id", "n_shingles", "fp1", "fp2").join(found, ["fp1", "fp2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # Each row's component is its class's. Rows without shingles have none, and classes with a thousandth of all rows, of which there are a thousand at most, are sent to the rows.
+    named = tables.keep(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", "members", F.coalesce("comp", "rep").alias("comp")), "components")
+    key, rows = ["fp1", "fp2", "n_shingles"], sketch.select("doc_id", "n_shingles", "fp1", "fp2", "text_hash")
+    large = F.broadcast(named.filter(F.col("members") * 1000 >= max(1000, sketch.count())).select(*key, "comp"))
+    filled = rows.filter("n_shingles > 0").join(large, key, "left")
+    few = filled.filter("comp is null").drop("comp").join(named.select(*key, "comp"), key, "left")
+    joined = filled.filter("comp is not null").unionByName(few).unionByName(rows.filter("n_shingles = 0").withColumn("comp", F.col("doc_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("comp"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

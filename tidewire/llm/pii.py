@@ -117,6 +117,9 @@ address {ip|2001:db8:0:1:1:1:1:1} was logged
 address {ip|fe80::1ff:fe23:4567:890a} was logged
 ip {ip|2001:0db8:85a3::8a2e:0370:7334} seen
 blocked {ip|172-16-254-1} again
+host {ip|10-0-0-12} is new here
+from {ip|192-168-7-20} came a call
+server {ip|10[.]1[.]0[.]5} is back
 login from {ip|203[.]0[.]113[.]9} failed
 under the apache license version 2.0 of it
 released under cc by 4.0 terms

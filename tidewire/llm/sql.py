@@ -15,7 +15,7 @@ def _sainte_lague(name: str, rows: str, group: str, key: str, share: str, seats:
  {name} AS (SELECT l.*, base + coalesce(won, 0) AS quota FROM {name}_l l LEFT JOIN {name}_w USING ({keys}))"""
 
 
-OP3 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS ord FROM documents),
+OP3 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
  s1 AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1)),
  s2 AS (SELECT *, ([5, 2, 1])[(nth - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS everything FROM s1),
  s3 AS (SELECT *, most / weight AS ratio FROM s2),
@@ -25,8 +25,11 @@ OP3 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(tex
  s7 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS seats FROM s6),
  {_sainte_lague('src', 's7', '', 'nth', 'target', 'seats')},
  p AS (SELECT d.*, src.nth, src.source_size, src.target, src.block, src.quota AS source_quota, ('0x' || substr(ord, 1, 8))::BIGINT % greatest(1, ceil(src.source_size / 262144.0))::BIGINT AS shard FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
- h1 AS (SELECT nth, shard, sum(size)::DOUBLE AS words, any_value(source_quota) AS source_quota, any_value(block) AS block FROM p GROUP BY 1, 2),
- {_sainte_lague('sh', 'h1', 'nth', 'shard', 'words', 'source_quota')},
+ h0 AS (SELECT nth, shard, shard // 1024 AS grp, sum(size)::DOUBLE AS words, any_value(source_quota) AS source_quota, any_value(block) AS block FROM p GROUP BY 1, 2),
+ g0 AS (SELECT nth, grp, sum(words) AS words, any_value(source_quota) AS source_quota FROM h0 GROUP BY 1, 2),
+ {_sainte_lague('gr', 'g0', 'nth', 'grp', 'words', 'source_quota')},
+ h1 AS (SELECT h0.*, gr.quota AS group_quota FROM h0 JOIN gr ON h0.nth = gr.nth AND h0.grp = gr.grp),
+ {_sainte_lague('sh', 'h1', 'nth, grp', 'shard', 'words', 'group_quota')},
  h2 AS (SELECT nth, shard, words::BIGINT AS words, block, least(quota * block, (2 * words)::BIGINT)::BIGINT AS take, ('0x' || substr(md5('17:block:' || nth || ':' || shard), 1, 8))::BIGINT AS draw FROM sh),
  h3 AS (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS rounds, (draw % greatest(1, ceil(words / block::DOUBLE))::BIGINT) * block AS first FROM h2),
  r AS (SELECT p.*, h3.words, h3.rounds, h3.first, h3.first + h3.take - h3.rounds * h3.words AS stop, sum(size) OVER (PARTITION BY p.nth, p.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM p JOIN h3 ON p.nth = h3.nth AND p.shard = h3.shard)
