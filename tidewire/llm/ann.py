@@ -154,16 +154,17 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
 
 
-def depth(quantiser: Quantiser, x: np.ndarray, *, share: float, k: int, seed: int = 11) -> float:
-    """How much of the rows has to be reranked, best estimates first, to meet ``share`` of the true neighbours among rows ``x``."""
+def depth(quantiser: Quantiser, cells: Cells, x: np.ndarray, *, share: float, k: int, seed: int = 11) -> float:
+    """How much of a cell's rows has to be reranked, best estimates first, to meet ``share`` of the true neighbours among rows ``x``."""
     some = np.random.default_rng(seed).choice(len(x), min(200, len(x)), replace=False)
     near = _square(x[some], x).argsort(axis=1, kind="stable")[:, 1 : k + 1]
-    if not near.shape[1]:
-        return 1.0
-    order = (-quantiser.scan(quantiser.tables(x[some]), quantiser.code(x), quantiser.half(x))).argsort(axis=1, kind="stable")
-    rank = np.empty_like(order)
-    rank[np.arange(len(some))[:, None], order] = np.arange(len(x))
-    return float(np.quantile(np.take_along_axis(rank, near, axis=1), share, method="higher") + 1) / len(x)
+    estimates, cell = quantiser.scan(quantiser.tables(x[some]), quantiser.code(x), quantiser.half(x)), cells.order(x)[:, 0]
+    parts = []
+    for e, found in zip(estimates, near, strict=True):
+        for j in found:
+            others = e[cell == cell[j]]
+            parts.append(((others > e[j]).sum() + 1) / len(others))
+    return float(np.quantile(parts, share, method="higher")) if parts else 1.0
 
 
 def _code(sent, size: int):
@@ -242,7 +243,8 @@ def search(
     fitted = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 32 * count)).toArrow()  # 32,768 rows at most
     x = _vectors(fitted["embedding"].combine_chunks(), size)
     quantiser = Quantiser(x[:sample], span=span, eta=eta)
-    sent = spark.sparkContext.broadcast((quantiser, Cells(x, min(count, len(x)), share=share, k=k), depth(quantiser, x[:sample], share=share, k=k)))
+    cells = Cells(x, min(count, len(x)), share=share, k=k)
+    sent = spark.sparkContext.broadcast((quantiser, cells, depth(quantiser, cells, x[:sample], share=share, k=k)))
 
     coded = usable.mapInArrow(_code(sent, size), "vec_id bigint, embedding array<double>, cell int, codes binary").withColumn("row", F.monotonically_increasing_id())
     coded = tables.keep(coded, "coded")
