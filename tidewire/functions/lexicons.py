@@ -65,3 +65,35 @@ TITLE_SEQUENCE, TITLE_JACCARD = 0.55, 0.35
 # Types of development that stand alone, and those of one product's life.
 DISTINCT_TYPES = ("pricing", "funding", "acquisition", "partnership", "security", "lawsuit", "policy", "personnel", "shutdown", "research", "benchmark")
 LIFECYCLE_TYPES = ("launch", "feature", "update", "availability", "expansion")
+
+# Words that are no names, company names as single words, and words that only fill such names.
+NO_ENTITIES = tuple(
+    "the this that these those a an in on at for to of and or but as by with from it its is are was were how why what when where who which will can new now today here there his her their our "
+    "your my we you they he she i if so after before over under more most all one two three also not no yes just about into than then some any every each other inside report reports says said "
+    "say monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december ai ceo cto api us uk eu app apps llm llms "
+    "gpu gpus ml it's faq update updates exclusive breaking opinion analysis watch review ask show hn tell u.s u.s. ap inc ltd corp co pm am".split()
+)
+COMPANY_TOKENS = tuple(
+    sorted(
+        {w for name in COMPANIES for w in name.split()}
+        | set(
+            "apple xai openai anthropic google microsoft meta amazon nvidia tesla samsung sony oracle uber spotify netflix disney intel amd huawei bytedance tiktok snap pinterest reddit x twitter github "
+            "linkedin paypal stripe shopify cloudflare palantir deepmind mozilla cursor figma notion slack zoom siri".split()
+        )
+    )
+)
+COMPANY_FILLER = ("ai", "labs", "research", "blog", "news", "hugging", "face", "scale", "character")
+
+# Terms too general to tell stories apart.
+GENERIC_TERMS = tuple(
+    "new says said report reports first latest major big better just company users user people model models tool tools product products platform service services technology tech artificial "
+    "intelligence today year years week day time way world make makes made will get gets using use uses used show shows could would may might like more most set plans plan wants want take takes "
+    "help helps comes ahead back next own real good best top".split()
+)
+#: Common function words of English; callers may pass others.
+STOP_WORDS = tuple(
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from "
+    "further had has have having he her here hers him his how however i if in into is it its itself me more most must my no nor not now of off on once only or other our ours out over own per "
+    "same she should since so some still such than that the their them then there these they this those though through to too toward under until up upon us very was we were what when where "
+    "whether which while who whom whose why with within without would yet you your yours".split()
+)

@@ -125,6 +125,23 @@ def content_stems(text: Column, stop: tuple[str, ...]) -> Column:
     return F.array_distinct(F.transform(words, stem))
 
 
+@F.pandas_udf(StringType())
+def strip_html(s: pd.Series) -> pd.Series:
+    """Text repaired, tags to blanks, entities unescaped, white space collapsed."""
+    return s.map(lambda t: None if t is None else re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", " ", _repair(t)))).strip())
+
+
+def normalized_unescaped(text: Column) -> Column:
+    """Entities unescaped, lower case, runs of anything but ASCII letters and digits one space each."""
+    return F.trim(F.regexp_replace(F.lower(unescape(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", " "))
+
+
+def closed_sentences(text: Column) -> Column:
+    """Split after . ! or ? and any closing marks, which stay with their sentence."""
+    parts = F.split(F.regexp_replace(text, "([.!?][\"'’”)\\]]*)\\s+", "$1\u0000"), "\u0000", -1)
+    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.trim(text), "\\s+"), ""))
 
@@ -215,6 +232,38 @@ def title_numbers(title: Column) -> Column:
     return F.array_sort(F.array_union(numbers_in(title), plain))
 
 
+# Fixed value: numbers of a script, with what gives them a unit.
+MEASURE = "(?i)\\$?\\d[\\d,]*(?:\\.\\d+)?\\s?(?:%|percent\\b|(?:million|billion|trillion|thousand)\\b|[mbkx]\\b)?"
+
+
+def numbers_by_unit(text: Column) -> Column:
+    """map of pct, usd, mult and plain to the distinct numbers of that unit, without signs and commas, sorted."""
+    raw = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MEASURE), F.lit(0)), lambda m: F.lower(F.trim(m)))
+    unit = lambda m: F.when(m.rlike("%|percent"), "pct").when(F.startswith(m, F.lit("$")), "usd").when(F.endswith(m, F.lit("x")), "mult").otherwise("plain")
+    value = lambda m: F.regexp_replace(m, "[,\\s$%]|percent", "")
+    of = lambda u: F.array_sort(F.array_distinct(F.transform(F.filter(raw, lambda m: unit(m) == u), value)))
+    units = ("pct", "usd", "mult", "plain")
+    return F.map_filter(F.create_map(*(x for u in units for x in (F.lit(u), of(u)))), lambda k, v: F.size(v) > 0)
+
+
+def numbers(text: Column) -> Column:
+    return F.array_distinct(F.flatten(F.map_values(numbers_by_unit(text))))
+
+
+def numeric_conflict(a: Column, b: Column) -> Column:
+    """Whether two texts give different values of one measured unit; plain numbers never conflict."""
+    x, y = numbers_by_unit(a), numbers_by_unit(b)
+    differs = lambda u: F.coalesce(~F.arrays_overlap(F.try_element_at(x, F.lit(u)), F.try_element_at(y, F.lit(u))), F.lit(False))
+    return differs("pct") | differs("usd") | differs("mult")
+
+
+def main_figure(text: Column) -> Column:
+    """struct(stat, unit) of a sentence's figure: money, then a scaled number, a share, a multiple, a number with commas."""
+    kinds = (("usd", "\\$\\s?\\d[\\d,.]*(?:\\s?(?:thousand|million|billion|trillion))?"), ("scale", "\\b\\d[\\d,.]*\\s?(?:thousand|million|billion|trillion)\\b"), ("pct", "\\b\\d+(?:\\.\\d+)?\\s?(?:%|percent\\b)"), ("mult", "\\b\\d+(?:\\.\\d+)?x\\b"), ("count", "\\b\\d{1,3}(?:,\\d{3})+\\b"))
+    hit = [F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for _, p in kinds]
+    return F.coalesce(*(F.when(h.isNotNull(), F.struct(h.alias("stat"), F.lit(k).alias("unit"))) for (k, _), h in zip(kinds, hit, strict=True)))
+
+
 # ---- time, address, format ----
 
 
@@ -223,6 +272,16 @@ def coverage_date(instant: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(instant, "Asia/Kolkata"))
 
 
+def target_date(instant: Column) -> Column:
+    """The business day that a pass collects: the one before."""
+    return F.date_sub(coverage_date(instant), 1)
+
+
+def valid_labels(day: Column, time: Column) -> Column:
+    """Whether labels look like 03/10/2026 and 9:00 AM."""
+    return day.rlike(r"^\d{2}/\d{2}/\d{4}$") & time.rlike("^(1[0-2]|[1-9]):[0-5]\\d (AM|PM)$")
+
+
 def coverage_window(day: Column) -> Column:
     """struct(start, end) of a business day in UTC."""
     start = F.to_utc_timestamp(day.cast("timestamp"), "Asia/Kolkata")
@@ -234,7 +293,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 
 # Publishers by host.
-PUBLISHERS = {"theguardian.com": "The Guardian", "theregister.com": "The Register", "macrumors.com": "MacRumors", "spectrum.ieee.org": "IEEE Spectrum", "techcrunch.com": "TechCrunch AI"}
+PUBLISHERS = {"news.ycombinator.com": "Hacker News", "theguardian.com": "The Guardian", "theregister.com": "The Register", "macrumors.com": "MacRumors", "spectrum.ieee.org": "IEEE Spectrum"}
 
 
 def publisher(url: Column, names: dict[str, str] | None = None) -> Column:

@@ -93,3 +93,38 @@ def systematic(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 def positions(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("rank_position", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("rank_score"), "story_id")))
+
+
+def qa_is_stale(rows: DataFrame) -> DataFrame:
+    """(id, stale): produced, and never checked or changed since."""
+    later = lambda c: F.coalesce(F.col(c) > F.col("qa_run_at"), F.lit(False))
+    stale = F.col("video_produced_at").isNotNull() & (F.col("qa_run_at").isNull() | later("video_produced_at") | later("content_changed_at"))
+    return rows.select("id", stale.alias("stale"))
+
+
+def valid_artefacts(artefacts: DataFrame, content: DataFrame) -> DataFrame:
+    """Artefacts (story_id, written_at) no older than their story's content."""
+    return artefacts.join(content.select("story_id", "updated_at"), "story_id").filter("written_at >= updated_at").drop("updated_at")
+
+
+def qa_rows(episodes_: DataFrame, members: DataFrame, items: DataFrame, stories: DataFrame, status: str = "video_ready") -> DataFrame:
+    """The primaries that an episode's checks read."""
+    one = episodes_.filter(F.col("video_status") == status).select(F.col("id").alias("episode_id"), "episode_date")
+    picked = members.filter("selection_status = 'primary'").join(one, "episode_id")
+    return picked.join(items.withColumnRenamed("id", "story_id"), "story_id").join(stories.withColumnRenamed("id", "story_id"), "story_id")
+
+
+def slowest(rows: DataFrame, n: int = 5) -> DataFrame:
+    return rows.orderBy(F.desc("seconds"), "id").limit(n)
+
+
+def one_vocabulary(new: DataFrame, historical: DataFrame) -> DataFrame:
+    """New and published texts (id, text) as one collection, with their side."""
+    return new.select("id", "text", F.lit("new").alias("side")).unionByName(historical.select("id", "text", F.lit("historical").alias("side")))
+
+
+def named_company(title, source, companies: dict[str, str], sources: dict[str, str] | None = None):
+    """The one company (name: pattern) that a title names; none if it names several; where it names none, that of its source."""
+    hits = lambda text, table: F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(n)) for n, p in table.items())))
+    found = hits(F.coalesce(title, F.lit("")), companies)
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).when(F.size(found) == 0, F.get(hits(F.coalesce(source, F.lit("")), sources or {}), F.lit(0)) if sources else F.lit(None).cast("string"))

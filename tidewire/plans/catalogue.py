@@ -5,21 +5,27 @@ Doubles are rounded to six places in both. Lexicons are parameters: the test tab
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import lexicons as X
 from tidewire.functions import text as T
 from tidewire.operators import briefing as B
 from tidewire.operators import classify as C
 from tidewire.operators import dedup as D
 from tidewire.operators import evaluate as E
+from tidewire.operators import features as FE
 from tidewire.operators import joins as J
+from tidewire.operators import quality as QA
 from tidewire.operators import ranking as R
+from tidewire.operators import relevance as RE
 from tidewire.operators import storyboard as S
 from tidewire.operators import windows as W
 
+from tidewire.session import shared_dir
 from tidewire.sources import pages as PG
 from tidewire.streaming import daily
 
@@ -243,44 +249,47 @@ def q_history_asof(spark, sf_dir):
     return D.nearest(asked, corpus, floor=0.3, k=10, visible=F.col("corpus_date") < F.col("collection_date"))
 
 
-def _pair_features(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    lead = T.sentences(F.col("raw_content"))
-    feats = rows.select("id", "content_hash", D.development_types(F.col("title"), F.get(lead, F.lit(0))).alias("types"), T.title_numbers(F.col("title")).alias("numbers"), T.content_stems(F.col("title"), ()).alias("stems"), F.size(F.split("raw_content", "\\s+")).alias("words"), F.lower("title").alias("low"))
-    n, o = (feats.select(*(F.col(c).alias(f"{p}_{c}") for c in feats.columns)) for p in ("n", "o"))
-    return pairs.join(n, F.col("l_id") == F.col("n_id")).join(o, F.col("e_id") == F.col("o_id"))
+def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of all stories, written once: pairs read them from both sides."""
+    none = F.lit(None).cast("string")
+    rows = news(spark, sf_dir).select("id", "title", "raw_content", none.alias("raw_summary"), none.alias("fetch_status"), none.alias("url"), "content_hash", "source_name")
+    path = f"{shared_dir(spark)}/tidewire/features-{uuid.uuid4().hex}"
+    FE.bundle(rows).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _day_pairs(rows: DataFrame) -> DataFrame:
-    """(e_id, l_id, semantic, title_sim) of all pairs of a day's stories that are related in content or have one source."""
-    vectors = rows.select("collection_date", "id", "published_at", "content_hash", D.embed(F.substring("raw_content", 1, 1500)).alias("body"), D.embed("title").alias("head"))
-    e, l = (vectors.select("collection_date", *(F.col(c).alias(f"{p}_{c}") for c in vectors.columns[1:])) for p in ("e", "l"))  # noqa: E741
-    pairs = e.join(l, "collection_date").filter(F.struct("e_published_at", "e_id") < F.struct("l_published_at", "l_id"))
-    pairs = pairs.withColumn("semantic", F.round(T.dot(F.col("e_body"), F.col("l_body")), 6)).filter((F.col("semantic") >= D.RELATED) | (F.col("e_content_hash") == F.col("l_content_hash")))
-    return pairs.select("e_id", "l_id", "semantic", F.round(T.dot(F.col("e_head"), F.col("l_head")), 6).alias("title_sim"))
+def _similar(stories: DataFrame, corpus: DataFrame, by: str | None) -> DataFrame:
+    """(id, c, semantic, title_sim) of related stories of two bundles with ``collection_date``; with ``by`` only inside its groups, the later one as id."""
+    vec = lambda d, k: d.select(F.col("id").alias(k), "collection_date", D.embed("embed_text").alias(f"{k}_body"), D.embed("title").alias(f"{k}_head"))
+    return D.dense_pairs(vec(stories, "id"), vec(corpus, "c"), D.RELATED, by)
+
+
+def _day_pairs(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """(old, new, semantic, title_sim) of all pairs of a day's stories, at most 48 hours apart, that are related in content or have one source."""
+    dated = features.join(rows.select("id", "collection_date", "published_at"), "id")
+    dots = _similar(dated, dated, "collection_date")
+    when = rows.select("id", "published_at")
+    pairs = dots.join(when, "id").join(when.select(F.col("id").alias("c"), F.col("published_at").alias("c_at")), "c")
+    later = pairs.filter(F.struct("c_at", "c") < F.struct("published_at", "id"))
+    return later.filter(T.hours_between(F.col("published_at"), F.col("c_at")) <= 48).select(F.col("c").alias("old"), F.col("id").alias("new"), "semantic", "title_sim")
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = news(spark, sf_dir)
-    f = _pair_features(_day_pairs(rows), rows)
-    parts = {
-        "same_source": F.col("n_content_hash") == F.col("o_content_hash"), "sim": F.col("semantic"), "title_sim": F.col("title_sim"),
-        "subject": F.when(F.arrays_overlap("n_stems", "o_stems"), "shared").otherwise("unknown"), "new": F.col("n_types"), "old": F.col("o_types"), "covered": F.col("o_types.types"),
-        "numbers": F.size(F.array_except("n_numbers", "o_numbers")), "title_entities": F.lit(0), "material": F.size(F.array_except("n_numbers", "o_numbers")) > 0,
-        "lead_novelty": F.lit(1.0) - T.coverage(F.col("n_stems"), F.col("o_stems")), "title_only": F.col("n_words") < 20, "first_person": F.col("n_low").rlike(D.FIRST_PERSON),
-        "explains": F.col("n_low").rlike(D.EXPLAINER), "old_explains": F.col("o_low").rlike(D.EXPLAINER),
-    }
-    return f.select("e_id", "l_id", "semantic", D.decide(parts).alias("v"), "n_words")
+    rows, features = news(spark, sf_dir), _bundle(spark, sf_dir)
+    overlap = D.similar(D.tfidf(rows, "id", "raw_content", stop=X.STOP_WORDS), D.CORROBORATED_TFIDF)
+    pairs = _day_pairs(rows, features).withColumn("a", F.least("old", "new")).withColumn("b", F.greatest("old", "new")).join(overlap, ["a", "b"], "left").withColumn("tfidf", F.coalesce("similarity", F.lit(0.0)))
+    return FE.same_day(FE.judged(pairs.select("old", "new", "semantic", "title_sim", "tfidf"), features))
 
 
 @query()
 def q_decide_ladder(spark, sf_dir):
-    return _verdicts(spark, sf_dir).groupBy("v.decision", "v.rule").count()
+    return _verdicts(spark, sf_dir).groupBy("decision", "rule").count()
 
 
 @query()
 def q_same_day_walk(spark, sf_dir):
     rows = news(spark, sf_dir)
-    verdicts = _verdicts(spark, sf_dir).filter("v.decision = 'duplicate'").select("e_id", "l_id", "semantic")
+    verdicts = _verdicts(spark, sf_dir).filter("decision = 'duplicate'").select(F.col("old").alias("e_id"), F.col("new").alias("l_id"), "semantic")
     given = rows.select("collection_date", "id", "published_at", F.lit(False).alias("pinned"), F.size(F.split("raw_content", "\\s+")).alias("words"), C.credibility(F.col("source_name"), CREDIBLE, {}).alias("score"))
     return D.elect(given, verdicts, "collection_date")
 
@@ -340,7 +349,7 @@ def q_numbers_by_unit(spark, sf_dir):
 
 @query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS publisher FROM pages""")
 def q_publisher(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.publisher(F.col("url"), {"": ""}).alias("publisher"))
+    return table(spark, sf_dir, "pages").select("page_id", T.publisher(F.col("url")).alias("publisher"))
 
 
 @query("""SELECT CAST(CAST(ts + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
@@ -591,10 +600,64 @@ def q_html_summary(spark, sf_dir):
 
 @query()
 def q_stream_daily(spark, sf_dir):
-    from tempfile import mkdtemp
+    out = daily.run_once(daily.day_counts(daily.arrivals(spark, f"{sf_dir.rstrip('/')}/events.parquet")), f"{shared_dir(spark)}/tidewire/stream-{uuid.uuid4().hex}")
+    return out.select(F.col("window.start").cast("string").alias("day_start"), "event_type", "n", F.round("value", 4).alias("value"))
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="tidewire-")
-    import uuid
 
-    out = daily.run_once(daily.day_counts(daily.arrivals(spark, f"{sf_dir.rstrip('/')}/events.parquet")), f"{where.rstrip('/')}/tidewire/stream-{uuid.uuid4().hex}")
-    return out.select(F.col("window.start").cast("string").alias("day_start"), "event_type", "n", F.round("value", 4).alias("value"))
+# ---- features, relevance, checks of scripts and episodes ----
+
+
+@query()
+def q_story_features(spark, sf_dir):
+    """Entities, types, stems and numbers of every story."""
+    return _bundle(spark, sf_dir).select("id", "quality", "words", "types.types", "title_entities", "lead_entities", "specific", "companies", "title_stems", "title_numbers", "first_person", "explains")
+
+
+@query()
+def q_historical_detection(spark, sf_dir):
+    """Each story against those published on days before its own: the first story of each tenth minute counts as published."""
+    every, rows = _bundle(spark, sf_dir), news(spark, sf_dir).select("id", "collection_date")
+    dated = every.join(rows, "id")
+    corpus = dated.filter("id % 10 = 0").withColumnRenamed("collection_date", "published")
+    return FE.detect(dated.withColumnRenamed("collection_date", "as_of"), corpus, _similar(dated, corpus.withColumnRenamed("published", "collection_date"), None))
+
+
+@query()
+def q_source_relevance(spark, sf_dir):
+    return RE.relevance(news(spark, sf_dir), "id", "title", "raw_content")
+
+
+@query()
+def q_script_grades(spark, sf_dir):
+    rows = news(spark, sf_dir).select("id", "title", F.lit(None).cast("string").alias("raw_summary"), "raw_content")
+    made = B.briefs(rows, names=KEYWORDS).select("id", "script", "status").join(rows, "id").join(RE.relevance(rows, "id", "title", "raw_content").select("id", F.col("status").alias("relevance")), "id")
+    return RE.graded(made)
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\$?[0-9][0-9,]*(?:\.[0-9]+)?[ \t\n\x0B\f\r]?(?:%|percent\b|(?:million|billion|trillion|thousand)\b|[mbkx]\b)?')) AS raw FROM documents),
+ v AS (SELECT doc_id, CASE WHEN lower(raw) LIKE '%\%%' ESCAPE '\' OR contains(lower(raw), 'percent') THEN 'pct' WHEN starts_with(raw, '$') THEN 'usd' WHEN ends_with(lower(trim(raw, E' \t\n')), 'x') THEN 'mult' ELSE 'plain' END AS unit,
+   regexp_replace(lower(raw), '[, \t\n\x0B\f\r$%]|percent', '', 'g') AS value FROM m)
+ SELECT doc_id, unit, array_to_string(list_sort(list_distinct(list(value))), ',') AS "values" FROM v GROUP BY 1, 2""".replace("LIKE '%\%%' ESCAPE '\'", "LIKE '%!%%' ESCAPE '!'"))
+def q_measures_by_unit(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.numbers_by_unit(F.col("text"))).alias("unit", "v"))
+    return each.select("doc_id", "unit", F.array_join("v", ",").alias("values"))
+
+
+@query("""WITH s AS (SELECT o_custkey % 100 AS episode_id, CASE WHEN o_orderstatus = 'F' THEN 'not_ai' ELSE 'ai_candidate' END AS ai, CASE WHEN o_totalprice > 1000 THEN 'verified' ELSE 'unverified' END AS v FROM orders),
+ a AS (SELECT episode_id, count(*) AS n, count(*) FILTER (ai <> 'ai_candidate') AS other, count(*) FILTER (v <> 'verified') AS un FROM s GROUP BY 1)
+ SELECT CAST(episode_id AS BIGINT) AS episode_id, 'story_count' AS check_name, n = 25 AS passed FROM a UNION ALL SELECT episode_id, 'ai_only', other = 0 FROM a UNION ALL SELECT episode_id, 'verification', un = 0 FROM a
+ UNION ALL SELECT episode_id, 'script_quality', NULL FROM a UNION ALL SELECT episode_id, 'duration', true FROM a""")
+def q_episode_checks(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 100).cast("long").alias("episode_id"), F.when(F.col("o_orderstatus") == "F", "not_ai").otherwise("ai_candidate").alias("ai_relevance"), F.when(F.col("o_totalprice") > 1000, "verified").otherwise("unverified").alias("verification_status"),
+        F.lit("https://example.com/1").alias("canonical_url"), F.lit(3).alias("cues"), F.lit(10.0).alias("audio_seconds"), F.lit(None).cast("string").alias("script_quality_status"), F.lit(250.0).alias("video_seconds"),
+    )
+    return QA.episode_checks(rows).filter(F.col("check_name").isin("story_count", "ai_only", "verification", "script_quality", "duration")).select("episode_id", "check_name", "passed")
+
+
+@query()
+def q_scene_checks(spark, sf_dir):
+    rows = q_storyboard(spark, sf_dir).withColumnRenamed("conv_id", "story_id")
+    words = F.size(F.split("text", " "))
+    full = rows.withColumn("source_text", F.col("text")).withColumn("audio_seconds", F.lit(None).cast("double")).withColumn("longest_cue", F.least(F.col("end") - F.col("start"), F.lit(8.0))).withColumn("cue_words", F.least(words, F.lit(20)))
+    return QA.scene_checks(full)
