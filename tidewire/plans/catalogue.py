@@ -278,7 +278,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = news(spark, sf_dir), _bundle(spark, sf_dir)
     overlap = D.similar(D.tfidf(rows, "id", "raw_content", stop=X.STOP_WORDS), D.CORROBORATED_TFIDF)
     pairs = _day_pairs(rows, features).withColumn("a", F.least("old", "new")).withColumn("b", F.greatest("old", "new")).join(overlap, ["a", "b"], "left").withColumn("tfidf", F.coalesce("similarity", F.lit(0.0)))
-    return FE.same_day(FE.judged(pairs.select("old", "new", "semantic", "title_sim", "tfidf"), features))
+    return FE.same_day(FE.judged(pairs.select("old", "new", "semantic", "title_sim", "tfidf"), features)).withColumn("e_id", F.col("old")).withColumn("l_id", F.col("new"))
 
 
 @query()
@@ -289,7 +289,7 @@ def q_decide_ladder(spark, sf_dir):
 @query()
 def q_same_day_walk(spark, sf_dir):
     rows = news(spark, sf_dir)
-    verdicts = _verdicts(spark, sf_dir).filter("decision = 'duplicate'").select(F.col("old").alias("e_id"), F.col("new").alias("l_id"), "semantic")
+    verdicts = _verdicts(spark, sf_dir).filter("decision = 'duplicate'").select("e_id", "l_id", "semantic")
     given = rows.select("collection_date", "id", "published_at", F.lit(False).alias("pinned"), F.size(F.split("raw_content", "\\s+")).alias("words"), C.credibility(F.col("source_name"), CREDIBLE, {}).alias("score"))
     return D.elect(given, verdicts, "collection_date")
 
@@ -635,9 +635,9 @@ def q_script_grades(spark, sf_dir):
 
 
 @query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\$?[0-9][0-9,]*(?:\.[0-9]+)?[ \t\n\x0B\f\r]?(?:%|percent\b|(?:million|billion|trillion|thousand)\b|[mbkx]\b)?')) AS raw FROM documents),
- v AS (SELECT doc_id, CASE WHEN lower(raw) LIKE '%\%%' ESCAPE '\' OR contains(lower(raw), 'percent') THEN 'pct' WHEN starts_with(raw, '$') THEN 'usd' WHEN ends_with(lower(trim(raw, E' \t\n')), 'x') THEN 'mult' ELSE 'plain' END AS unit,
+ v AS (SELECT doc_id, CASE WHEN contains(raw, '%') OR contains(lower(raw), 'percent') THEN 'pct' WHEN starts_with(raw, '$') THEN 'usd' WHEN ends_with(lower(trim(raw, E' \t\n')), 'x') THEN 'mult' ELSE 'plain' END AS unit,
    regexp_replace(lower(raw), '[, \t\n\x0B\f\r$%]|percent', '', 'g') AS value FROM m)
- SELECT doc_id, unit, array_to_string(list_sort(list_distinct(list(value))), ',') AS "values" FROM v GROUP BY 1, 2""".replace("LIKE '%\%%' ESCAPE '\'", "LIKE '%!%%' ESCAPE '!'"))
+ SELECT doc_id, unit, array_to_string(list_sort(list_distinct(list(value))), ',') AS "values" FROM v GROUP BY 1, 2""")
 def q_measures_by_unit(spark, sf_dir):
     each = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.numbers_by_unit(F.col("text"))).alias("unit", "v"))
     return each.select("doc_id", "unit", F.array_join("v", ",").alias("values"))
