@@ -70,6 +70,16 @@ class Tables:
                     path.getFileSystem(hconf).delete(path, True)
 
 
+def released(run):
+    """``run`` over Arrow batches, and at its end the worker's unused Arrow memory back to the system: workers outlive tasks."""
+
+    def all_(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return all_
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """True for the fold that training never sees; a row without an id is never trained on."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, Tables, chain, lists, mix, text_bytes
+from .common import WORDS, Tables, chain, lists, mix, released, text_bytes
 
 HASHES, FIRST, ROWS, BATCH = 512, 128, 4, 16
 BANDS = FIRST // ROWS
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
     spark = docs.sparkSession
     tables, bounds = Tables(spark, "neardup"), least_matches(percent / 100, miss)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
-    sketch = tables.keep(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = tables.keep(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(released(_sketch), SKETCH), "sketch")
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = tables.keep(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("sig").alias("sig"), F.first("more").alias("more"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
         left = left.select("a", "b")
         texts = source.join(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "doc_id", "left_semi")
         full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return tables.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct(), "links")
+        return tables.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirm(percent)), "a bigint, b bigint").distinct(), "links")
 
     # Each class meets the leader of its bucket, the smallest.
     leaders = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, released
 
 SALTS = 64
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt int"
@@ -42,12 +42,11 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def ranked(model) -> tiktoken.Encoding | None:
-    """The same tokenizer as byte pairs with ranks, which is several times faster; None for one of another kind."""
-    told = json.loads(model.to_str())
-    bpe, before, added = told["model"], told["pre_tokenizer"] or {}, told["added_tokens"]
-    plain = bpe["type"] == "BPE" and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+def ranked(told: dict) -> tiktoken.Encoding | None:
+    """The tokenizer that a file describes as byte pairs with ranks, which is several times faster; None for one of another kind."""
+    bpe, before, added = told["model"], told.get("pre_tokenizer") or {}, told.get("added_tokens") or []
+    plain = bpe.get("type") == "BPE" and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or told.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
         return None
     if any(not t["special"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
         return None
@@ -63,11 +62,13 @@ class Encoder:
     """Token ids, as little-endian bytes, of whole texts as ``tokenizers`` gives them for the file at ``path``."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            self.fast = ranked(json.load(f))
+        if self.fast is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.fast = ranked(self.model)
+            self.model = Tokenizer.from_file(path)
 
     def slow(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -169,7 +170,7 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end: int = 0)
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
-    pieces = tables.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, end), PIECES), "pieces")
+    pieces = tables.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_pieces(tokenizer, capacity, end)), PIECES), "pieces")
     cells = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     where = spark.createDataFrame(intervals(plan(counts, capacity)), INTERVALS)  # a few for each length, whatever the number of rows

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -476,4 +478,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text`` and ``n_chars`` to match."""
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return docs.mapInArrow(_redacted, docs.schema)
+    return docs.mapInArrow(released(_redacted), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, held_out, lists, mix, text_bytes
+from .common import WORDS, held_out, lists, mix, released, text_bytes
 
 BITS = 18
 
@@ -102,7 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, *, keep: tuple
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values)], [*keep, "__score"])
 
     schema = docs.select(*keep).schema.add("__score", "double")
-    return docs.select(*keep, text_bytes(F.col("text")).alias("__bytes")).mapInArrow(run, schema)
+    return docs.select(*keep, text_bytes(F.col("text")).alias("__bytes")).mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, cutoff: float = 0.3, folds: int = 5, **options) -> DataFrame:
