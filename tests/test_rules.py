@@ -131,7 +131,7 @@ def test_recency_bounds(spark):
 def test_window_pairs_of_all_events(spark):
     ts = sorted((t.value // 1000, i) for t, i in spark.read.parquet(f"{SF}/events.parquet").select("ts", "event_id").toPandas().itertuples(index=False))
     gaps = [b[0] - a[0] for i, b in enumerate(ts) for a in ts[:i] if b[0] - a[0] <= 172_800_000_000]
-    got = catalogue.queries()["q_window_pairs_48h_all"](spark, SF).first()
+    got = catalogue.queries()["q_window_pairs_48h"](spark, SF).first()
     assert got["pairs"] == len(gaps) and got["hours"] == pytest.approx(sum(gaps) / 3.6e9, rel=1e-9)
 
 
@@ -144,14 +144,14 @@ def test_tfidf_pairs_of_documents(spark):
         v = {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in b.items() if df[w] <= 0.9 * n}
         unit[i] = {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
     sims = {(a, b): sum(x * unit[b].get(w, 0) for w, x in unit[a].items()) for a in unit for b in unit if a < b}
-    got = {(r["a"], r["b"]) for r in catalogue.queries()["q_tfidf_pairs_documents"](spark, SF).collect()}
+    got = {(r["a"], r["b"]) for r in catalogue.queries()["q_tfidf_pairs"](spark, SF).collect()}
     assert got and {k for k, s in sims.items() if s > 0.350001} <= got <= {k for k, s in sims.items() if s > 0.349999}
 
 
 def test_overlaps_of_documents_and_benchmark(spark):
     bags = [{i: set(re.findall("[a-z0-9]+", (x or "").lower())) for i, x in spark.read.parquet(f"{SF}/{n}.parquet").select(k, "text").collect()} for n, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
     want = {(a, b) for a, x in bags[0].items() for b, y in bags[1].items() if x and y and round(len(x & y) / min(len(x), len(y)), 6) >= 0.8}
-    got = [(r["a"], r["b"]) for r in catalogue.queries()["q_overlap_coverage_documents"](spark, SF).collect()]
+    got = [(r["a"], r["b"]) for r in catalogue.queries()["q_overlap_coverage"](spark, SF).collect()]
     assert want and len(got) == len(want) and set(got) == want
 
 
@@ -162,7 +162,7 @@ def test_cosine_topk_asks_all(spark):
         if q["vec_id"] % 20 == 0:
             sims = [(-round(math.fsum(x * y for x, y in zip(q["embedding"], c["embedding"], strict=True)), 6), c["vec_id"]) for c in rows if c["vec_id"] != q["vec_id"]]
             want |= {(q["vec_id"], n + 1): -s for n, (s, _) in enumerate(sorted(x for x in sims if x[0] <= -0.1)[:10])}
-    got = {(r["q"], r["rank"]): r["similarity"] for r in catalogue.queries()["q_cosine_topk_all"](spark, SF).collect()}
+    got = {(r["q"], r["rank"]): r["similarity"] for r in catalogue.queries()["q_cosine_topk"](spark, SF).collect()}
     assert want and got == pytest.approx(want, abs=2e-6)
 
 

@@ -129,13 +129,14 @@ def q_independent_outlets(spark, sf_dir):
     return rows.select("l_orderkey", C.independent_outlets(F.lit("NO "), F.col("names")).alias("others"))
 
 
-@query(f"""WITH {NEWS} SELECT id, title FROM news LEFT JOIN labels ON id = doc_id WHERE quality IS DISTINCT FROM 0 AND NOT EXISTS (SELECT 1 FROM labels t WHERE t.doc_id = id AND t.toxic = 1) AND source_type = 'rss'""")
+@query(f"""WITH {NEWS} SELECT id, title FROM news LEFT JOIN labels ON id = doc_id WHERE quality IS DISTINCT FROM 0 AND NOT EXISTS (SELECT 1 FROM labels t WHERE t.doc_id = id AND t.toxic = 1) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id = id)""")
 def q_eligible_pool(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    rows = news(spark, sf_dir).filter("source_type = 'rss'").join(labels.select(F.col("doc_id").alias("id"), "quality"), "id", "left")
+    rows = news(spark, sf_dir).join(labels.select(F.col("doc_id").alias("id"), "quality"), "id", "left")
     stories = rows.select("id", "title", F.lit("ai_candidate").alias("ai_relevance"), F.lit(None).cast("long").alias("canonical_story_id"), F.when(F.col("quality") == 0, "insufficient").when(F.col("quality") == 1, "sufficient").alias("source_sufficiency"))
     toxic = labels.filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    return R.eligible(stories, toxic.limit(0), toxic).select("id", "title")
+    selected = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    return R.eligible(stories, selected, toxic).select("id", "title")
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderkey AS id, o_totalprice AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
@@ -210,32 +211,19 @@ def q_title_clusters(spark, sf_dir):
     return D.walk(rows, one_day, "collection_date")
 
 
-@query(r"""WITH tf AS (SELECT item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark) GROUP BY 1, 2),
- n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+@query(rf"""WITH tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS term FROM documents) GROUP BY 1, 2),
+ n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  w AS (SELECT id, term, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df <= 0.9 * n),
  u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)
- SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= 0.1""")
+ SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING round(sum(a.weight * b.weight), 6) >= {D.CORROBORATED_TFIDF}""")
 def q_tfidf_pairs(spark, sf_dir):
-    return D.similar(D.tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text"), 0.1)
-
-
-@query()
-def q_tfidf_pairs_documents(spark, sf_dir):
-    """Over all documents; the query above has, with its SQL, the benchmark."""
     return D.similar(D.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text"), D.CORROBORATED_TFIDF)
 
 
-@query("""WITH q AS (SELECT vec_id AS q, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS c, round(list_sum(list_transform(list_zip(qv, embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS similarity FROM q, embeddings WHERE vec_id < q)
+@query("""WITH q AS (SELECT vec_id AS q, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id AS c, round(list_sum(list_transform(list_zip(qv, embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS similarity FROM q, embeddings WHERE vec_id <> q)
  SELECT q, c, similarity, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, c) AS rn FROM s WHERE similarity >= 0.1) WHERE rn <= 10""")
 def q_cosine_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return D.nearest(asked, rows.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), floor=0.1, k=10, visible=F.col("c") < F.col("q"))
-
-
-@query()
-def q_cosine_topk_all(spark, sf_dir):
-    """Rows whose id is divisible by 20, against all others; the query above has, with its SQL, fewer of both."""
+    """The stated queries, rows whose id is divisible by 20, against all other rows."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     return D.nearest(asked, rows.select(F.col("vec_id").alias("c"), F.col("embedding").alias("cv")), floor=0.1, k=10, visible=F.col("c") != F.col("q"))
@@ -245,7 +233,7 @@ def q_cosine_topk_all(spark, sf_dir):
 def q_history_asof(spark, sf_dir):
     rows = news(spark, sf_dir)
     corpus = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("c"), D.embed("text").alias("cv"), F.date_add(F.lit("2026-09-18").cast("date"), (F.col("item_id") % 5).cast("int")).alias("corpus_date"))
-    asked = rows.select(F.col("id").alias("q"), D.embed(F.substring("raw_content", 1, 1500)).alias("qv"), "collection_date")
+    asked = rows.select(F.col("id").alias("q"), D.embed("raw_content").alias("qv"), "collection_date")
     return D.nearest(asked, corpus, floor=0.3, k=10, visible=F.col("corpus_date") < F.col("collection_date"))
 
 
@@ -276,8 +264,11 @@ def _day_pairs(rows: DataFrame, features: DataFrame) -> DataFrame:
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = news(spark, sf_dir), _bundle(spark, sf_dir)
-    overlap = D.similar(D.tfidf(rows, "id", "raw_content", stop=X.STOP_WORDS), D.CORROBORATED_TFIDF)
-    pairs = _day_pairs(rows, features).withColumn("a", F.least("old", "new")).withColumn("b", F.greatest("old", "new")).join(overlap, ["a", "b"], "left").withColumn("tfidf", F.coalesce("similarity", F.lit(0.0)))
+    path = f"{shared_dir(spark)}/tidewire/day-pairs-{uuid.uuid4().hex}"
+    _day_pairs(rows, features).withColumn("a", F.least("old", "new")).withColumn("b", F.greatest("old", "new")).write.parquet(path)
+    related = spark.read.parquet(path)
+    overlap = D.products(related.select("a", "b").distinct(), D.term_bags(D.tfidf(rows, "id", "raw_content", stop=X.STOP_WORDS)))  # of the day's pairs only
+    pairs = related.join(overlap, ["a", "b"], "left").withColumn("tfidf", F.coalesce("similarity", F.lit(0.0)))
     return FE.same_day(FE.judged(pairs.select("old", "new", "semantic", "title_sim", "tfidf"), features)).withColumn("e_id", F.col("old")).withColumn("l_id", F.col("new"))
 
 
@@ -358,18 +349,11 @@ def q_ist_day_counts(spark, sf_dir):
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error' OR user_id % 40 = 0) SELECT count(*) AS pairs, round(sum((b.t - a.t) / 3.6e9), 3) AS hours FROM e a JOIN e b ON b.t - a.t BETWEEN 0 AND 172800000000 AND (a.t, a.event_id) < (b.t, b.event_id)""")
+@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t FROM events) SELECT count(*) AS pairs, round(sum(b.t - a.t) / 3.6e9, 3) AS hours FROM e a JOIN e b ON b.t >= a.t AND b.t <= a.t + 172800000000 WHERE (a.t, a.event_id) < (b.t, b.event_id)""")
 def q_window_pairs_48h(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_type = 'error' or user_id % 40 = 0")
-    pairs = J.window_pairs(rows, "ts", "event_id", 48, salts=4)
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum("hours"), 3).alias("hours"))
-
-
-@query()
-def q_window_pairs_48h_all(spark, sf_dir):
-    """Over all events; the query above has, with its SQL, a subset of them."""
     pairs = J.window_pairs(table(spark, sf_dir, "events"), "ts", "event_id", 48, salts=16)
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.sum("hours"), 3).alias("hours"))
+    apart = F.sum(F.round(F.col("hours") * 3.6e9).cast("decimal(18,0)")).cast("double")  # whole microseconds, so the sum does not hang on its order
+    return pairs.agg(F.count("*").alias("pairs"), F.round(apart / 3.6e9, 3).alias("hours"))
 
 
 @query("""SELECT user_id, max_by(event_id, (epoch_us(ts), event_id)) AS event_id FROM events GROUP BY 1""")
@@ -500,17 +484,11 @@ def q_sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("nth", "sentence"))
 
 
-@query(r"""WITH b AS (SELECT item_id % 10 AS bucket, item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS x, b.t AS y FROM b a JOIN b b ON a.bucket = b.bucket AND a.item_id < b.item_id)
- SELECT a, b, round(len(list_intersect(x, y)) / CAST(least(len(x), len(y)) AS DOUBLE), 6) AS overlap, round(len(list_intersect(x, y)) / CAST(len(x) AS DOUBLE), 6) AS coverage FROM p""")
+@query(r"""WITH d AS (SELECT doc_id AS a, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents), i AS (SELECT item_id AS b, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS y FROM benchmark),
+ p AS (SELECT a, b, len(list_intersect(x, y)) AS k, len(x) AS n, len(y) AS m FROM d, i WHERE len(x) > 0 AND len(y) > 0)
+ SELECT a, b, round(k / CAST(least(n, m) AS DOUBLE), 6) AS overlap, round(k / CAST(n AS DOUBLE), 6) AS coverage FROM p WHERE round(k / CAST(least(n, m) AS DOUBLE), 6) >= 0.8""")
 def q_overlap_coverage(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("bucket"), "item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
-    a, b = rows.select("bucket", F.col("item_id").alias("a"), F.col("t").alias("x")), rows.select("bucket", F.col("item_id").alias("b"), F.col("t").alias("y"))
-    return a.join(b, "bucket").filter("a < b").select("a", "b", F.round(T.overlap(F.col("x"), F.col("y")), 6).alias("overlap"), F.round(T.coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
-
-
-@query()
-def q_overlap_coverage_documents(spark, sf_dir):
-    """Documents with items of benchmark whose overlap is 0.8 or more, over both whole tables; the query above has, with its SQL, a tenth of the pairs of benchmark."""
+    """Documents with items of benchmark whose overlap is 0.8 or more."""
     sets = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     return J.overlaps(sets("documents", "doc_id"), sets("benchmark", "item_id"), 0.8)
 
@@ -540,11 +518,13 @@ def q_pipeline_stages(spark, sf_dir):
     return S.stage_report(one, "total", ["collected", "classified", "accepted"])
 
 
-@query("""WITH a AS (SELECT event_id, user_id, 1 AS pass FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id, user_id, 2 AS pass FROM events WHERE event_id % 2 = 0)
+@query("""WITH a AS (SELECT event_id, user_id, 1 AS pass FROM events WHERE ts < TIMESTAMP '2024-01-20'), b AS (SELECT event_id, user_id, 2 AS pass FROM events WHERE ts >= TIMESTAMP '2024-01-10')
  SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(b.pass, a.pass) AS INT) AS pass FROM a FULL JOIN b ON a.event_id = b.event_id""")
 def q_merge_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
-    return J.merge(rows.filter("event_id % 3 <> 0").withColumn("pass", F.lit(1)), rows.filter("event_id % 2 = 0").withColumn("pass", F.lit(2)), ["event_id"], {"pass": F.col("i.pass")})
+    """Two collections of one feed whose days overlap, together all events."""
+    rows = table(spark, sf_dir, "events")
+    held, come = (rows.filter(c).select("event_id", "user_id", F.lit(n).alias("pass")) for n, c in ((1, "ts < timestamp_ntz'2024-01-20'"), (2, "ts >= timestamp_ntz'2024-01-10'")))
+    return J.merge(held, come, ["event_id"], {"pass": F.col("i.pass")})
 
 
 @query("""SELECT doc_id, coalesce(CASE WHEN toxic = 1 THEN 0 END, quality) AS decision FROM labels""")
@@ -615,10 +595,11 @@ def q_story_features(spark, sf_dir):
 
 @query()
 def q_historical_detection(spark, sf_dir):
-    """Each story against those published on days before its own: the first story of each tenth minute counts as published."""
+    """Each story against those published on days before its own: stories labelled good count as published."""
     every, rows = _bundle(spark, sf_dir), news(spark, sf_dir).select("id", "collection_date")
     dated = every.join(rows, "id")
-    corpus = dated.filter("id % 10 = 0").withColumnRenamed("collection_date", "published")
+    published = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    corpus = dated.join(published, "id").withColumnRenamed("collection_date", "published")
     return FE.detect(dated.withColumnRenamed("collection_date", "as_of"), corpus, _similar(dated, corpus.withColumnRenamed("published", "collection_date"), None))
 
 
