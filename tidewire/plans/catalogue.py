@@ -280,7 +280,9 @@ def q_decide_ladder(spark, sf_dir):
 @query()
 def q_same_day_walk(spark, sf_dir):
     rows = news(spark, sf_dir)
-    verdicts = _verdicts(spark, sf_dir).filter("decision = 'duplicate'").select("e_id", "l_id", "semantic")
+    path = f"{shared_dir(spark)}/tidewire/day-duplicates-{uuid.uuid4().hex}"  # read four times
+    _verdicts(spark, sf_dir).select("e_id", "l_id", "semantic", "decision").write.parquet(path)
+    verdicts = spark.read.parquet(path).filter("decision = 'duplicate'").drop("decision")
     given = rows.select("collection_date", "id", "published_at", F.lit(False).alias("pinned"), F.size(F.split("raw_content", "\\s+")).alias("words"), C.credibility(F.col("source_name"), CREDIBLE, {}).alias("score"))
     return D.elect(given, verdicts, "collection_date")
 
