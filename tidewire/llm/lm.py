@@ -39,6 +39,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 PROBES = 3
 #: Training tokens for each segment of the filter; tokens of a piece of documents.
 SEGMENT, PIECE = 3_000_000, 500_000
+#: N-grams that enter or are asked of a filter at a time.
+AT_ONCE = 200_000
 
 
 def pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -73,13 +75,15 @@ class Filter:
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of n-grams, each asked for one by one until one is missing."""
-        level, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        while len(live):
-            live = live[self.has(keys[live], int(level[live[0]]) + 1)]
-            level[live] += 1
-            if len(live) and level[live[0]] >= len(self.middle) - 1:
-                break
+        """Levels of n-grams, each asked for one by one until one is missing; ``AT_ONCE`` of them at a time, as their places take many times their room."""
+        level = np.zeros(len(keys), np.uint8)
+        for at in range(0, len(keys), AT_ONCE):
+            some, live = keys[at : at + AT_ONCE], np.arange(min(AT_ONCE, len(keys) - at))
+            for asked in range(1, len(self.middle)):
+                live = live[self.has(some[live], asked)]
+                if not len(live):
+                    break
+                level[at + live] = asked
         return level
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -93,9 +97,9 @@ class Filter:
 def fill(keys: np.ndarray, c: np.ndarray, size: int, base: float) -> np.ndarray:
     """The bits, ``size`` in number, of n-grams with their counts."""
     floor, flags = levels(base), np.zeros(size, bool)
-    for at in range(0, len(keys), 200_000):
-        some = keys[at : at + 200_000]
-        q = np.searchsorted(floor, c[at : at + 200_000], side="right")
+    for at in range(0, len(keys), AT_ONCE):
+        some = keys[at : at + AT_ONCE]
+        q = np.searchsorted(floor, c[at : at + AT_ONCE], side="right")
         level = np.arange(1, q.sum() + 1) - np.repeat(np.cumsum(q) - q, q)
         flags[Filter.places(np.repeat(some, q), level, np.uint64(size)).ravel()] = True
     return np.packbits(flags, bitorder="little")
@@ -226,7 +230,7 @@ def _segment(edge: np.ndarray, base: float, bits: int, least: int):
         keys, c = np.append(place[times > 0], pairs[often >= least]), np.append(times[times > 0], often[often >= least])
         entries = int(np.searchsorted(levels(base), c, side="right").sum())
         made = Filter(fill(keys, c, max(1, -(-entries * bits // 8)) * 8, base), base)
-        found = [[x.tobytes() for x in np.split(made.levels(k).astype(np.uint8)[a], e)] for k, a, e in ((place, at, cut), (pairs, which, split))]
+        found = [[x.tobytes() for x in np.split(made.levels(k)[a], e)] for k, a, e in ((place, at, cut), (pairs, which, split))]
         exact = [planes(x, np.uint64) for x in np.split(times[at], cut)]
         n, none = t.num_rows, [None]
         columns = [
