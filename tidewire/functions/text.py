@@ -202,6 +202,10 @@ def sequence_at_least(candidate: pd.Series, member: pd.Series, least: pd.Series)
     return pd.Series(out, dtype="float64")
 
 
+# Not because it varies: a filter on its result would else be pushed below it and ask it a second time for each pair.
+sequence_at_least = sequence_at_least.asNondeterministic()
+
+
 def mentions(text: Column, term: Column) -> Column:
     """Whether the term stands in the text as a whole token."""
     return F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])\\Q"), term, F.lit("\\E(?![a-z0-9])")))

@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as T
 
 
-def window_pairs(rows: DataFrame, ts: str, key: str, hours: int, carry: tuple[str, ...] = (), salts: int = 1, on: Column | None = None) -> DataFrame:
-    """Pairs (earlier, later) at most ``hours`` apart, ordered by (ts, key); rows without a time pair with nothing.
+def window_pairs(rows: DataFrame, ts: str, key: str, hours: int, carry: tuple[str, ...] = (), salts: int = 1, on: Column | None = None, by: str | None = None) -> DataFrame:
+    """Pairs (earlier, later) at most ``hours`` apart, ordered by (ts, key), with ``by`` only inside its groups; rows without a time pair with nothing.
 
     A range condition alone would plan as a nested loop. Here each row lies in one bucket of ``hours``; as the earlier of a pair it is also offered to
     the next bucket, so equality on buckets finds each pair once. ``salts`` deals the later side of a crowded bucket over several tasks.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp"))
     span = hours * 3_600_000_000
-    timed = rows.filter(F.col(ts).isNotNull()).select(F.col(key), seconds.alias("__t"), *carry).withColumn("__b", F.floor(F.col("__t") / span).cast("long"))
-    early = timed.select(*(F.col(c).alias(f"e_{c}") for c in (key, *carry)), F.col("__t").alias("e_t"), F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
-    late = timed.select(*(F.col(c).alias(f"l_{c}") for c in (key, *carry)), F.col("__t").alias("l_t"), "__b")
-    keys = ["__b"]
+    group = {"__g": F.col(by)} if by else {}
+    timed = rows.filter(F.col(ts).isNotNull()).select(F.col(key), seconds.alias("__t"), *carry, *(c.alias(k) for k, c in group.items())).withColumn("__b", F.floor(F.col("__t") / span).cast("long"))
+    early = timed.select(*(F.col(c).alias(f"e_{c}") for c in (key, *carry)), F.col("__t").alias("e_t"), *group, F.explode(F.array("__b", F.col("__b") + 1)).alias("__b"))
+    late = timed.select(*(F.col(c).alias(f"l_{c}") for c in (key, *carry)), F.col("__t").alias("l_t"), *group, "__b")
+    keys = ["__b", *group]
     if salts > 1:
         late = late.withColumn("__s", F.pmod(F.xxhash64(f"l_{key}"), F.lit(salts)).cast("int"))
         early = early.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = ["__b", "__s"]
+        keys.append("__s")
     pairs = early.join(late, keys).filter((F.col("l_t") - F.col("e_t") <= span) & (F.struct("e_t", f"e_{key}") < F.struct("l_t", f"l_{key}")))
     if on is not None:
         pairs = pairs.filter(on)
-    return pairs.withColumn("hours", (F.col("l_t") - F.col("e_t")) / 3.6e9).drop("__b", "__s", "e_t", "l_t")
+    return pairs.withColumn("hours", (F.col("l_t") - F.col("e_t")) / 3.6e9).drop(*keys, "e_t", "l_t")
 
 
 def tokens_in_common(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:

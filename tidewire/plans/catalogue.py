@@ -205,10 +205,7 @@ def q_title_seq_pairs(spark, sf_dir):
 @query()
 def q_title_clusters(spark, sf_dir):
     rows = news(spark, sf_dir).withColumn("pinned", F.lit(False))
-    pairs = D.title_matches(rows, companies=())
-    days = rows.select("id", "collection_date")
-    one_day = pairs.join(days.select(F.col("id").alias("e_id"), F.col("collection_date").alias("d1")), "e_id").join(days.select(F.col("id").alias("l_id"), F.col("collection_date").alias("d2")), "l_id").filter("d1 = d2")
-    return D.walk(rows, one_day, "collection_date")
+    return D.walk(rows, D.title_matches(rows, companies=(), by="collection_date"), "collection_date")
 
 
 @query(rf"""WITH tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS term FROM documents) GROUP BY 1, 2),
