@@ -12,8 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan, dealt by ``key`` over all cores where its files have fewer splits than there are cores, as small ones do. Larger tables are read as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     published = F.expr("timestamp'2026-09-20 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(7 * doc_id as int), 0)").cast("timestamp_ntz")
     rows = docs.select(
         F.col("doc_id").alias("id"), F.trim(F.regexp_extract("text", "^[^.\n]*", 0)).alias("title"), F.col("text").alias("raw_content"), F.col("source").alias("source_name"),
