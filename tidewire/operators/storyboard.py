@@ -58,3 +58,43 @@ def subtitles(segments: Column) -> Column:
     """Numbered caption blocks of segments (text, start, end), as the text of a file."""
     block = lambda s, i: F.concat((i + 1).cast("string"), F.lit("\n"), clock(s["start"]), F.lit(" --> "), clock(s["end"]), F.lit("\n"), s["text"], F.lit("\n"))
     return F.array_join(F.transform(segments, block), "\n")
+
+
+# Cues closer than JOIN seconds swap without a fade, which else takes FADE milliseconds.
+JOIN, FADE = 0.15, 80
+
+
+def styled_clock(seconds: Column) -> Column:
+    """H:MM:SS.cc; times before 0 are 0."""
+    t = F.greatest(F.lit(0.0), seconds)
+    return F.format_string("%d:%02d:%05.2f", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60)
+
+
+def styled_events(cues: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, event) of cues (by, order, lines, start, end, style): dialogue events that never overlap. A cue starts when the ones before have ended and is left out if nothing remains of it; it fades only where no other follows or precedes within ``JOIN``."""
+    w = Window.partitionBy(by).orderBy(order)
+    ended = F.max(F.when(F.col("end") > F.col("start"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    timed = cues.withColumn("__p", ended).withColumn("__next", F.lead("start").over(w)).withColumn("__s", F.greatest("start", "__p")).filter(F.col("__s") < F.col("end"))
+    fade = lambda near: F.when(near, 0).otherwise(FADE).cast("string")
+    fades = F.concat(F.lit("{\\fad("), fade(F.col("__s") - F.col("__p") < JOIN), F.lit(","), fade(F.col("__next") - F.col("end") < JOIN), F.lit(")}"))
+    head = F.concat(F.lit("Dialogue: 1,"), styled_clock(F.col("__s")), F.lit(","), styled_clock(F.col("end")), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"))
+    return timed.select(by, order, F.concat(head, fades, F.array_join("lines", "\\N")).alias("event"))
+
+
+def qa_stale(produced: Column, checked: Column, changed: Column) -> Column:
+    """Whether checks no longer speak of what is there: produced, but never checked, or produced or changed after the check."""
+    later = lambda c: F.coalesce(c > checked, F.lit(False))
+    return produced.isNotNull() & (checked.isNull() | later(produced) | later(changed))
+
+
+def artefact_valid(written: Column, changed: Column) -> Column:
+    """Whether a file is there and not older than its content."""
+    return written.isNotNull() & F.coalesce(written >= changed, F.lit(True))
+
+
+# Labels of a post's date and time.
+DATE_LABEL, TIME_LABEL = r"^\d{2}/\d{2}/\d{4}$", r"^(1[0-2]|[1-9]):[0-5]\d (AM|PM)$"
+
+
+def valid_labels(date: Column, time: Column) -> Column:
+    return F.coalesce(date.rlike(DATE_LABEL) & time.rlike(TIME_LABEL), F.lit(False))

@@ -465,6 +465,45 @@ def q_vote_sweep(spark, sf_dir):
     return E.vote_sweep(rows, votes, F.col("quality") == 1)
 
 
+_LANES = """SELECT d.doc_id, lang, source, CASE WHEN quality = 1 AND toxic = 0 THEN 'cand' WHEN quality = 1 THEN 'rev' ELSE 'rej' END AS truth,
+   CASE WHEN length(text) < 200 THEN 'rej' WHEN length(text) < 800 THEN 'rev' ELSE 'cand' END AS v1, CASE WHEN contains(text, '|') THEN 'rej' WHEN contains(text, '%') THEN 'rev' ELSE 'cand' END AS v2,
+   CASE WHEN length(text) - length(translate(text, '#*$%&|<>', '')) > 15 THEN 'rej' WHEN length(text) - length(translate(text, '#*$%&|<>', '')) > 5 THEN 'rev' ELSE 'cand' END AS v3 FROM documents d JOIN labels USING (doc_id)"""
+
+
+def _lanes(spark, sf_dir):
+    """Labelled documents with an expected lane, and those of three simple voters."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    symbols, text = F.length("text") - F.length(F.translate("text", "#*$%&|<>", "")), F.col("text")
+    lane = lambda rej, rev: F.when(rej, "rej").when(rev, "rev").otherwise("cand")
+    truth = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "cand").when(F.col("quality") == 1, "rev").otherwise("rej")
+    v1, v2, v3 = lane(F.length("text") < 200, F.length("text") < 800), lane(text.contains("|"), text.contains("%")), lane(symbols > 15, symbols > 5)
+    return rows.select("doc_id", "lang", "source", truth.alias("truth"), v1.alias("v1"), v2.alias("v2"), v3.alias("v3"))
+
+
+def _part(a: str, b: str) -> str:
+    return f"round(count(*) FILTER ({a} AND {b}) / CAST(nullif(count(*) FILTER ({b}), 0) AS DOUBLE), 6)"
+
+
+@query(f"""WITH p AS ({_LANES}) SELECT count(*) AS n, {_part("v3 = 'cand'", "truth = 'cand'")} AS cand_recall_auto, {_part("v3 <> 'rej'", "truth = 'cand'")} AS cand_recall_surfaced, {_part("v3 <> 'rej'", "truth <> 'rej'")} AS nonrej_recall_surfaced,
+  count(*) FILTER (truth = 'cand' AND v3 = 'rej') AS hard_fn_cand, count(*) FILTER (truth <> 'rej' AND v3 = 'rej') AS hard_fn_cand_or_rev, count(*) FILTER (truth = 'rej' AND v3 = 'cand') AS auto_fp, count(*) FILTER (truth = 'rej' AND v3 = 'rev') AS rej_to_review,
+  {_part("v3 = 'rev'", "TRUE")} AS review_load, {_part("truth = 'cand'", "v3 = 'cand'")} AS cand_precision, {_part("truth <> 'rej'", "v3 <> 'rej'")} AS surfaced_precision, {_part("truth = v3", "TRUE")} AS exact_acc FROM p""")
+def q_headline_metrics(spark, sf_dir):
+    return E.headline(_lanes(spark, sf_dir), F.col("truth"), F.col("v3"))
+
+
+@query(f"""WITH p AS ({_LANES}), s AS (SELECT 'english' AS slice, * FROM p WHERE lang = 'en' UNION ALL SELECT 'even', * FROM p WHERE doc_id % 2 = 0 UNION ALL SELECT 'all', * FROM p)
+ SELECT slice, count(*) AS n, count(*) FILTER (truth = 'cand') AS exp_cand, count(*) FILTER (truth = 'rev') AS exp_rev, count(*) FILTER (truth = 'rej') AS exp_rej, count(*) FILTER (truth <> 'rej' AND v3 = 'rej') AS fn, count(*) FILTER (truth = 'rej' AND v3 = 'cand') AS fp, count(*) FILTER (v3 = 'rev') AS rev FROM s GROUP BY 1""")
+def q_lane_slices(spark, sf_dir):
+    return E.lane_slices(_lanes(spark, sf_dir), {"english": F.col("lang") == "en", "even": F.col("doc_id") % 2 == 0, "all": F.lit(True)}, F.col("truth"), F.col("v3"))
+
+
+@query(f"""WITH p AS ({_LANES}), v AS (SELECT truth, (v1 = 'cand')::INT + (v2 = 'cand')::INT + (v3 = 'cand')::INT AS c, (v1 <> 'rej')::INT + (v2 <> 'rej')::INT + (v3 <> 'rej')::INT AS s FROM p),
+ g AS (SELECT *, CASE WHEN c >= kc THEN 'cand' WHEN s >= ks THEN 'rev' ELSE 'rej' END AS lane FROM v, range(1, 4) a(kc), range(1, 4) b(ks))
+ SELECT CAST(kc AS INT) AS kc, CAST(ks AS INT) AS ks, count(*) FILTER (truth <> 'rej' AND lane = 'rej') AS silent, count(*) FILTER (truth = 'rej' AND lane = 'cand') AS rej_in_cand, count(*) FILTER (lane = 'cand') AS cand_lane, count(*) FILTER (lane = 'rev') AS review_lane FROM g GROUP BY 1, 2""")
+def q_gate_sweep(spark, sf_dir):
+    return E.gate_sweep(_lanes(spark, sf_dir), [F.col("v1"), F.col("v2"), F.col("v3")], F.col("truth"))
+
+
 # ---- text ----
 
 
@@ -571,6 +610,24 @@ def q_captions(spark, sf_dir):
     return rows.groupBy("conv_id").agg(S.subtitles(W.cues(lines)).alias("captions"))
 
 
+@query(r"""WITH c AS (SELECT conv_id, turn, text, turn * 4.0::DOUBLE AS s, turn * 4.0::DOUBLE + 5.0 - turn % 3 AS e FROM conversations),
+ t AS (SELECT *, max(CASE WHEN e > s THEN e END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, lead(s) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM c), g AS (SELECT *, greatest(s, coalesce(p, s)) AS st FROM t)
+ SELECT conv_id, turn, 'Dialogue: 1,' || printf('%d:%02d:%05.2f', CAST(floor(st / 3600) AS BIGINT), CAST(floor(st / 60) % 60 AS BIGINT), st % 60) || ',' || printf('%d:%02d:%05.2f', CAST(floor(e / 3600) AS BIGINT), CAST(floor(e / 60) % 60 AS BIGINT), e % 60) || ',Plain,,0,0,0,,{\fad('
+   || CASE WHEN st - p < 0.15 THEN '0' ELSE '80' END || ',' || CASE WHEN nx - e < 0.15 THEN '0' ELSE '80' END || ')}' || text AS event FROM g WHERE st < e""")
+def q_styled_captions(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array("text").alias("lines"), (F.col("turn") * 4.0).alias("start"), (F.col("turn") * 4.0 + 5.0 - F.col("turn") % 3).alias("end"), F.lit("Plain").alias("style"))
+    return S.styled_events(rows, "conv_id", "turn")
+
+
+@query("""WITH l AS (SELECT l_orderkey, max(l_shipdate) AS produced FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN produced END AS produced, CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderdate + INTERVAL 60 DAY END AS checked, o_orderdate AS changed FROM orders JOIN l ON l_orderkey = o_orderkey)
+ SELECT o_orderkey, produced IS NOT NULL AND (checked IS NULL OR coalesce(produced > checked, FALSE) OR coalesce(changed > checked, FALSE)) AS stale, checked IS NOT NULL AND coalesce(checked >= produced, TRUE) AS valid FROM r""")
+def q_staleness(spark, sf_dir):
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("last"))
+    rows = table(spark, sf_dir, "orders").join(made, "o_orderkey")
+    produced, checked = F.when(F.col("o_orderstatus") != "O", F.col("last")), F.when(~F.col("o_orderpriority").like("1%"), F.col("o_orderdate") + F.expr("interval 60 days"))
+    return rows.select("o_orderkey", S.qa_stale(produced, checked, F.col("o_orderdate")).alias("stale"), S.artefact_valid(checked, produced).alias("valid"))
+
+
 @query()
 def q_html_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
