@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as T
 from tidewire.operators import classify as C
 from tidewire.operators import dedup as D
+from tidewire.operators import joins as J
 from tidewire.operators import ranking as R
 from tidewire.plans import catalogue
 
@@ -135,6 +136,26 @@ def test_window_pairs_of_all_events(spark):
     assert got["pairs"] == len(gaps) and got["hours"] == pytest.approx(sum(gaps) / 3.6e9, rel=1e-9)
 
 
+def test_window_totals_at_the_edges(spark):
+    hour = 3_600_000_000
+    times = [0, 0, 0, 1, 1, 999_999, 1_000_000, hour - 1, hour, hour + 1, 47 * hour, 48 * hour - 1, 48 * hour, 48 * hour, 48 * hour + 1, 49 * hour, 49 * hour + 1, 97 * hour, -1, -48 * hour, -47 * hour - 5, None]
+    rows = [(t, None if i % 7 == 6 else i // 2) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "t long, k long").select(F.timestamp_micros("t").alias("ts"), "k")
+    order = sorted((t, k is None, k or 0) for t, k in rows if t is not None)
+    for hours in (1, 2, 48):
+        gaps = [b[0] - a[0] for i, b in enumerate(order) for a in order[:i] if a < b and b[0] - a[0] <= hours * hour]
+        assert tuple(map(int, J.window_totals(df, "ts", "k", hours).first())) == (len(gaps), sum(gaps))
+    assert tuple(J.window_totals(df.filter("k = -1"), "ts", "k", 48).first()) == (0, None)
+
+
+def test_window_pairs_of_a_crowded_hour_are_counted(spark, tmp_path):
+    n = 300_000  # 4.5e10 pairs
+    spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(1_700_000_000_000_000 + F.floor(F.col("id") / 3) * 1000).cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["q_window_pairs_48h"](spark, str(tmp_path)).first()
+    m = n // 3  # times, a millisecond apart, three events each
+    assert got["pairs"] == n * (n - 1) // 2 and got["hours"] == pytest.approx(9 * 1000 * (m**3 - m) // 6 / 3.6e9, rel=1e-12)
+
+
 def test_tfidf_pairs_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
     bags = {i: Counter(re.findall("[a-z0-9_]{2,}", (x or "").lower())) for i, x in docs.itertuples(index=False)}
