@@ -169,6 +169,27 @@ def test_tfidf_pairs_of_documents(spark):
     assert got and {k for k, s in sims.items() if s > 0.350001} <= got <= {k for k, s in sims.items() if s > 0.349999}
 
 
+def test_tfidf_pairs_are_never_rows_before_they_are_products(spark, monkeypatch):
+    monkeypatch.setattr(D, "BAGS", 40)
+    plan = D.similar_bags(D.tfidf_bags(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text"), 0.35)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r["a"], r["b"]): r["similarity"] for r in catalogue.queries()["q_tfidf_pairs"](spark, SF).collect()}
+    rows = plan.collect()  # 5 blocks, 15 cells
+    assert len(rows) == len(whole) and {(r["a"], r["b"]): r["similarity"] for r in rows} == pytest.approx(whole, abs=1.1e-6)
+
+
+def test_tfidf_bags_are_the_vectors(spark):
+    texts = ["new chip from acme ships", "acme ships new chip today", "weather is nice", "", None, "chip chip weather", "chip new", "weather new"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    rest = {}
+    for r in D.tfidf(df, "id", "text").collect():
+        rest.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    often = Counter(t for v in rest.values() for t in v)
+    want = {i: sorted(w for t, w in v.items() if often[t] > 1) for i, v in rest.items()}
+    got = {r["id"]: sorted(r["w"]) for r in D.tfidf_bags(df, "id", "text").collect()}
+    assert set(got) == {i for i, v in want.items() if v} and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
 def test_overlaps_of_documents_and_benchmark(spark):
     bags = [{i: set(re.findall("[a-z0-9]+", (x or "").lower())) for i, x in spark.read.parquet(f"{SF}/{n}.parquet").select(k, "text").collect()} for n, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
     want = {(a, b) for a, x in bags[0].items() for b, y in bags[1].items() if x and y and round(len(x & y) / min(len(x), len(y)), 6) >= 0.8}
