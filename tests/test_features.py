@@ -63,6 +63,24 @@ def test_dense_pairs_equal_brute_force(spark, monkeypatch):
     assert {(r["id"], r["c"]) for r in D.dense_pairs(side("id"), side("c"), 0.3, "g").collect()} == {(i, j) for i, j in want if (i % 3 == 0) == (j % 3 == 0)}
 
 
+def test_dense_best_has_the_best_of_all(spark, monkeypatch):
+    for k, v in (("WIDE", 7), ("ROUND", 20), ("BLOCK", 9)):
+        monkeypatch.setattr(D, k, v)
+    rng = np.random.default_rng(3)
+    v = np.abs(rng.normal(size=(60, 6))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, i % 9, [f"n{i % 11}"] if i % 2 else [], [i - 5] if i % 7 == 0 else None, x.tolist(), x.tolist()) for i, x in enumerate(v)]
+    side = lambda k: spark.createDataFrame(rows, f"{k} long, {k}_day int, {k}_names array<string>, {k}_own array<long>, {k}_body array<float>, {k}_head array<float>")
+    weight = lambda a, b, s: 2.0 if rows[b][0] in (rows[a][3] or ()) else s + bool(set(rows[a][2]) & set(rows[b][2]))
+    sims = {(a, b): round(float(v[a].astype(float) @ v[b].astype(float)), 6) for a in range(60) for b in range(60) if rows[b][1] < rows[a][1]}
+    best = lambda pairs, a: sorted(((-weight(a, b, s), b) for (x, b), s in pairs.items() if x == a))[:3]
+    found = D.dense_best(side("id"), side("c").drop("c_own"), 0.5, 3).collect()
+    got = {(r["id"], r["c"]): r["semantic"] for r in found}
+    want = {k: s for k, s in sims.items() if s >= 0.5}
+    assert len(found) == len(got) < len(want) and all(abs(sims[k] - s) < 2e-6 for k, s in got.items())
+    assert all([b for _, b in best(got, a)] == [b for _, b in best(want, a)] for a in range(60))
+
+
 @pytest.mark.parametrize("title", ["OpenAI scraps chatbot subscription", "Google revamps Gemini app", "Anthropic triples Claude quota", "Meta sacks AI lead"])
 def test_all_verbs_count(spark, title):
     assert spark.createDataFrame([(title,)], "t string").select(C.relevance_rules(F.col("t"), F.lit(None).cast("string")).alias("r")).first()["r"]["disposition"] == "candidate"
