@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewire.llm import ann, langid, licenses, lm, mixing, neardup, packing, pii, quality, rules
-from tidewire.llm.common import Tables
+from tidewire.llm.common import Tables, shared_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, kept string"
@@ -105,6 +106,27 @@ def test_near_duplicates_of_chains_and_lost_originals(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_write_few_files(spark):
+    """Tables of ids take few files, however many partitions a shuffle has and though nothing merges them."""
+    rng, base = np.random.default_rng(6), words(5, 60)
+    rows = [(i, " ".join([*base[: 60 - int(rng.integers(0, 12))], *words(200 + i, int(rng.integers(0, 25)))])) for i in range(60)]
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, top = {k: spark.conf.get(k) for k in held}, Path(shared_dir(spark).removeprefix("file:"), "tidewire")
+    old = set(top.glob("neardup-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    (run,) = set(top.glob("neardup-*")) - old
+    files = {t.name: len(list(t.glob("part-*"))) for t in run.iterdir()}
+    ids = {name: n for name, n in files.items() if name.split("-")[1] in ("survivors", "links", "edges", "labels", "rest", "homes", "crowds", "components")}
+    assert len(ids) >= 12 and max(ids.values()) <= 48 // neardup.GATHER, files
+
+
 def test_blocks_compare_each_pair_once():
     side = np.array([-1, -1, 1, 1])
     assert [list(neardup._others(i, np.arange(4), side)) for i in (0, 1)] == [[2, 3], [2, 3]]

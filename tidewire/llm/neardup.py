@@ -44,6 +44,8 @@ WIDTH = 5
 #: Rows of a block, and shingles of a block of full sets.
 BLOCK, SHINGLES = 512, 1_000_000
 HOMES, CROWD = 4, 16
+#: Tables of ids are written by one task for so many partitions of a shuffle.
+GATHER = 16
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 
@@ -279,15 +281,22 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
 
+def gathered(tables: Tables, ids: DataFrame, name: str) -> DataFrame:
+    """``ids``, rows of a few numbers, from a table of few files: each file costs a task attempt's folders and, in a local store, several commands, however
+    small it is. What makes the rows stays dealt out as it was; only finished rows are dealt again, evenly and by no key."""
+    n = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    return tables.keep(ids.repartition(max(2, n // GATHER)), name)
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over edges (a, b), by smallest labels of neighbours and pointer jumping."""
-    both = tables.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = tables.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    both = gathered(tables, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = gathered(tables, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("low"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = tables.keep(step.join(jump, "comp", "left").select("node", "old", F.least(F.col("comp"), F.col("root")).alias("comp")), "labels")
+        new = gathered(tables, step.join(jump, "comp", "left").select("node", "old", F.least(F.col("comp"), F.col("root")).alias("comp")), "labels")
         changed = new.filter("old <> comp").limit(1).count()
         labels = new.select("node", "comp")
         if not changed:
@@ -310,11 +319,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
         for column, done in (("sig", 0), ("more", FIRST)):
             of = lambda p: classes.select(F.col("rep").alias(p), F.col(column).alias(f"s_{p}"))  # noqa: E731, B023
             signed = left.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hits", "s_a", "s_b")
-            left = tables.keep(signed.mapInArrow(_judge(bounds, done), "a bigint, b bigint, hits bigint").dropDuplicates(["a", "b"]), "survivors")
+            left = gathered(tables, signed.mapInArrow(_judge(bounds, done), "a bigint, b bigint, hits bigint").dropDuplicates(["a", "b"]), "survivors")
         left = left.select("a", "b")
         texts = source.join(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "doc_id", "left_semi")
         full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return tables.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirm(percent)), "a bigint, b bigint").distinct(), "links")
+        return gathered(tables, full.select("a", "b", "text_a", "text_b").mapInArrow(released(_confirm(percent)), "a bigint, b bigint").distinct(), "links")
 
     # Each class meets the leader of its bucket, the smallest.
     leaders = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
@@ -336,10 +345,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
     often[sums["at"].to_numpy()] = sums["n"].to_numpy()
     rare = tables.keep(texts.mapInArrow(_rarest(spark.sparkContext.broadcast(often), percent), "rep bigint, key bigint, size bigint"), "rare")
     at = placed(rare)
-    rest = tables.keep(at.join(mixed(at, 2), "key"), "rest")
+    rest = gathered(tables, at.join(mixed(at, 2), "key"), "rest")
     crowded = rest.filter(F.col("n") > CROWD)
     chosen = crowded.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "key"))).filter(F.col("r") <= HOMES)
-    chosen = tables.keep(chosen.select("key", "rep", "comp", "size"), "homes")
+    chosen = gathered(tables, chosen.select("key", "rep", "comp", "size"), "homes")
     homes = chosen.groupBy("rep").agg(F.collect_list("key").alias("homes"))  # HOMES keys at most
     none = F.array().cast("array<bigint>")
 
@@ -355,11 +364,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5) -
     full = texts.join(chosen.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "rep bigint, load binary")
     true = compared(chosen.join(counted, "key").join(full, "rep").withColumn("homes", none), _by_set(percent))
     others = rest.drop("size").join(classes.select("rep", F.col("sig").alias("load")), "rep").join(homes, "rep", "left").withColumn("homes", F.coalesce("homes", none))
-    last = tables.keep(true.distinct(), "crowds").union(confirmed(compared(others, _by_signature(bounds))))
+    last = gathered(tables, true.distinct(), "crowds").union(confirmed(compared(others, _by_signature(bounds))))
     labels = components(tables, links.union(last))
 
     # Each row's component is its class's. Rows without shingles have none, and classes with a thousandth of all rows, of which there are a thousand at most, are sent to the rows.
-    named = tables.keep(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", "members", F.coalesce("comp", "rep").alias("comp")), "components")
+    named = gathered(tables, classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", "members", F.coalesce("comp", "rep").alias("comp")), "components")
     key, rows = ["fp1", "fp2", "n_shingles"], sketch.select("doc_id", "n_shingles", "fp1", "fp2", "text_hash")
     large = F.broadcast(named.filter(F.col("members") * 1000 >= max(1000, sketch.count())).select(*key, "comp"))
     filled = rows.filter("n_shingles > 0").join(large, key, "left")
